@@ -4,16 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid, quality, toxicity
+from . import bpe, langid, packing, quality, simhash, token_counts, toxicity
 from .common import held_out, table
 
 
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3)
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return counted.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).drop("edited")
+
+
 def op5_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=1, window=2048)
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs.filter(~held_out()), labels.filter(~held_out()))
@@ -27,7 +50,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-_QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op5_quality_bands, op9_toxicity, op10_language_id]
+_QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op1_simhash, op2_token_counts, op5_quality_bands, op6_packing, op8_bpe, op9_toxicity, op10_language_id]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
