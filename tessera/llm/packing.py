@@ -127,7 +127,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, wi
     return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, with_ids: bool = False, bucket_rows: int = 500_000) -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, with_ids: bool = False, bucket_rows: int = 50_000) -> DataFrame:
     """The pieces of every document with sequence_id and offset; the used places of a sequence are gapless from 0.
 
     A null or empty text is the end id alone. Repeated rows are packed one by one; columns of other names are not

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, quality, simhash, token_counts, toxicity, warc
+from . import bpe, langid, packing, quality, simhash, suffix_dedup, token_counts, toxicity, warc
 from .common import held_out, table
 
 
@@ -37,6 +37,13 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=1, window=2048)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=50)
+    return kept.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
@@ -55,7 +62,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-_QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op1_simhash, op2_token_counts, op4_warc_derivatives, op5_quality_bands, op6_packing, op8_bpe, op9_toxicity, op10_language_id]
+_QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op1_simhash, op2_token_counts, op4_warc_derivatives, op5_quality_bands, op6_packing, op7_suffix_dedup, op8_bpe, op9_toxicity, op10_language_id]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
