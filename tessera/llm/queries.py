@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, quality, simhash, suffix_dedup, token_counts, toxicity, warc
+from . import bpe, embeddings, langid, packing, quality, simhash, suffix_dedup, token_counts, toxicity, warc
 from .common import held_out, table
 
 
@@ -24,6 +24,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).drop("edited")
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     derived = warc.derive(warc.responses(table(spark, sf_dir, "pages")))
     return derived.withColumn("block_sha256", F.sha2(F.col("block").cast("binary"), 256)).drop("block")
@@ -62,7 +66,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-_QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op1_simhash, op2_token_counts, op4_warc_derivatives, op5_quality_bands, op6_packing, op7_suffix_dedup, op8_bpe, op9_toxicity, op10_language_id]
+_QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [op1_simhash, op2_token_counts, op3_embedding_dedup, op4_warc_derivatives, op5_quality_bands, op6_packing, op7_suffix_dedup, op8_bpe, op9_toxicity, op10_language_id]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
