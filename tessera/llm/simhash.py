@@ -110,3 +110,99 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     component = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = rooted.select("fp", "root").join(component, "root").select("fp", "component_id")
     return table.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- similarity of sets of shingles: documents that are alike, not only of one fingerprint --------------------------
+
+_SKETCH = 512
+
+
+def _ring_passes(differ: Column, distance: int) -> Column:
+    """Pigeonring filter for any distance: from some segment on, every chain of l differs in distance * l / 8 at most."""
+    n = _BITS // _SEGMENT
+    apart = [F.bit_count(F.shiftrightunsigned(differ, i * _SEGMENT).bitwiseAND(F.lit((1 << _SEGMENT) - 1))) for i in range(n)]
+    found = F.lit(False)
+    for start in range(n):
+        total, chain = F.lit(0), F.lit(True)
+        for size in range(1, n + 1):
+            total = total + apart[(start + size - 1) % n]
+            chain = chain & (total <= distance * size // n)
+        found = found | chain
+    return found
+
+
+def _band_seeds(bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(11)
+    return rng.integers(0, 1 << 63, (bands * rows,), dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, (bands * rows,), dtype=np.uint64)
+
+
+def _signatures(words: int, bands: int, rows: int):
+    times, plus = _band_seeds(bands, rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slabs(batches):
+            fps, same, keys, sketches = [], [], [], []
+            for text in batch.column("text").to_pylist():
+                h = shingle_hashes(text, words)
+                fps.append(fingerprint(h))
+                same.append(xxhash.xxh3_128_digest(h.tobytes()))
+                own = np.unique(h.astype(np.uint64))
+                low = np.array([(own * t + p).min() for t, p in zip(times, plus, strict=True)], dtype=np.uint64).reshape(bands, rows) if len(own) else None
+                keys.append([] if low is None else [xxhash.xxh64_intdigest(low[b].tobytes(), b) - (1 << 63) for b in range(bands)])
+                sketches.append((own[:_SKETCH] >> np.uint64(32)).astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                ["doc_id", "fp", "same", "bands", "sketch"],
+            )
+
+    return run
+
+
+def sketch_similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity from two bottom sketches: exact if both hold their whole sets."""
+    x, y = np.frombuffer(a, dtype="<u4"), np.frombuffer(b, dtype="<u4")
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    both, n = np.unique(np.concatenate([np.unique(x), np.unique(y)]), return_counts=True)
+    if max(len(x), len(y)) >= _SKETCH:
+        n = n[:_SKETCH]
+        if min(len(x), len(y)) >= _SKETCH:
+            n = n[: int(np.searchsorted(both, min(x[-1], y[-1]), side="right"))]
+    return float((n == 2).sum() / len(n))
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 18, bands: int = 12, rows: int = 3) -> DataFrame:
+    """doc_id and component_id (smallest doc_id of its group) for every row.
+
+    Documents whose sets of shingles have a Jaccard similarity of `similarity` or more are linked, by their SimHash
+    fingerprints: a pair of such sets differs in about 10 of 64 bits, and in more than `distance` once in hundreds.
+    No exact key is left at that distance, so pairs are proposed by bands of minima of the shingle hashes (one of 12
+    bands of 3 agrees for 0.9998 of the pairs at 0.8), each document with the smallest and one more document of its
+    bands; the pigeonring filter and the full distance prune them before sets are compared, by the 512 smallest
+    shingle hashes (exact up to 512 shingles). Texts with the same shingles are one class from the start. A null, an
+    empty text and one without words are alike. doc_id is taken to be a key: rows that repeat one share its result.
+    """
+    table = cut(map_arrow(docs.select("doc_id", "text"), _signatures(words, bands, rows), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, same binary, bands array<bigint>, sketch binary"))
+    lows = table.groupBy("same").agg(F.min("doc_id").alias("low"))
+    reps = table.join(lows, "same").filter("doc_id = low").dropDuplicates(["same"])
+    filed = reps.select("doc_id", "fp", F.explode("bands").alias("band"))
+    leaders = (
+        filed.groupBy("band")
+        .agg(F.min(F.struct("doc_id", "fp")).alias("first"), F.min(F.struct(F.xxhash64("doc_id", "band").alias("h"), "doc_id", "fp")).alias("other"), F.count("*").alias("n"))
+        .filter("n > 1")
+        .select("band", F.explode(F.array("first", F.struct(F.col("other.doc_id"), F.col("other.fp")))).alias("leader"))
+    )
+    differ = F.col("fp").bitwiseXOR(F.col("leader.fp"))
+    met = filed.join(leaders, "band").filter(F.col("doc_id") != F.col("leader.doc_id")).filter(_ring_passes(differ, distance) & (F.bit_count(differ) <= distance))
+    pairs = met.select(F.greatest("doc_id", "leader.doc_id").alias("u"), F.least("doc_id", "leader.doc_id").alias("v")).distinct()
+    sketches = reps.select("doc_id", "sketch")
+    both = pairs.join(sketches.select(F.col("doc_id").alias("u"), F.col("sketch").alias("a")), "u").join(sketches.select(F.col("doc_id").alias("v"), F.col("sketch").alias("b")), "v")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = [sketch_similarity(a, b) >= similarity for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(alike, pa.bool_()))
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    roots = connected_components(map_arrow(both.select("u", "v", "a", "b"), verify, f"u {kind}, v {kind}"))
+    return table.select("doc_id", "same").join(lows, "same").join(roots, F.col("low") == F.col("node"), "left").select("doc_id", F.coalesce("root", "low").alias("component_id"))

@@ -363,19 +363,20 @@ def _lowest(runs: list[tuple[list[bytes], list[int]]], lows: list[np.ndarray]) -
 # --- the rounds over the table ---------------------------------------------------------------------------------------
 
 
-def _texts(table: pa.Table) -> tuple[list[bytes], np.ndarray]:
-    """The texts of a bucket in an order that does not depend on how its rows arrive."""
+def _texts(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The texts of a bucket in an order that does not depend on how its rows arrive, their ids, and that order."""
     ids, z = table.column("doc_id").to_numpy(), table.column("z").to_pylist()
     order = np.lexsort((np.array([xxhash.xxh64_intdigest(x) for x in z], dtype=np.uint64), ids)) if len(ids) else np.zeros(0, dtype=np.int64)
     un = zstandard.ZstdDecompressor()
-    return [un.decompress(z[i]) if z[i] else b"" for i in order.tolist()], ids[order]
+    return [un.decompress(z[i]) if z[i] else b"" for i in order.tolist()], ids[order], order
 
 
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=2)
     for batch in slabs(batches):
         z = [press.compress(t.encode("utf-8", "surrogatepass")) if t else b"" for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("bucket"), pa.array(z, pa.binary())], ["doc_id", "bucket", "z"])
+        names = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(z, pa.binary())], [*names, "z"])
 
 
 def _splitters(docs: DataFrame, length: int, ranges: int, sample_docs: int = 400) -> list[bytes]:
@@ -397,8 +398,9 @@ def _splitters(docs: DataFrame, length: int, ranges: int, sample_docs: int = 400
     return sorted({found[i * len(found) // ranges] for i in range(1, ranges)}) if found else []
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 24 << 20) -> DataFrame:
-    """doc_id, n_bytes, spans (start, end of each removed stretch, in bytes) and kept (the bytes left) for every row.
+def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 24 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, spans (start, end of each removed stretch, in bytes), kept (the bytes left) and the columns in
+    `keep` for every row.
 
     A byte is removed if `length` bytes that cover it also start in a document with a smaller doc_id; all is judged on
     the input. A null text is empty; texts shorter than `length` keep all. Rows that repeat a doc_id are one document
@@ -410,9 +412,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 24 <<
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
     bounds = _splitters(docs, length, buckets)
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"))
+    others = [F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]
+    other_kinds = "".join(f", keep_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *others, F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"))
     # one exchange of the texts serves all three rounds: the plan reuses it, as it does those of the shares
-    held = map_arrow(dealt, _compress, "doc_id long, bucket int, z binary").repartition(buckets, "bucket")
+    held = map_arrow(dealt, _compress, f"doc_id long{other_kinds}, bucket int, z binary").repartition(buckets, "bucket")
     kinds = {"to": "int", "bucket": "int", "n": "int", "a": "binary", "b": "binary"}
     schema = ", ".join(f"{k} {v}" for k, v in kinds.items())
     arrow = pa.schema([("to", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
@@ -425,7 +429,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 24 <<
         return np.concatenate([[0], np.searchsorted(gram, edges), [len(gram)]])
 
     def sample(table: pa.Table) -> pa.Table:
-        texts, _ = _texts(table)
+        texts, _, _ = _texts(table)
         p = _pairs(_anchors(texts, length))
         at, bucket, out = hash_cuts(p.gram), table.column("bucket")[0].as_py(), []
         for r, (a, b) in enumerate(zip(at, at[1:], strict=False)):
@@ -443,7 +447,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 24 <<
         return rows([(x["bucket"], x["to"], x["n"], zstandard.ZstdCompressor(level=3).compress(s.tobytes()), None) for x, s in zip(blocks, _judge(read), strict=True)])
 
     def run_of(table: pa.Table, reply: pa.Table) -> tuple[list[bytes], np.ndarray, _Run]:
-        texts, ids = _texts(table)
+        texts, ids, _ = _texts(table)
         anchors = _anchors(texts, length)
         p = _pairs(anchors)
         at, state = hash_cuts(p.gram), np.zeros(len(p.gram), dtype=np.uint8)
@@ -469,7 +473,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 24 <<
 
     def remove(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return _KEPT.empty_table()
+            return pa.Table.from_arrays([*_KEPT.empty_table().columns, *(table.column(f"keep_{i}") for i in range(len(keep)))], [*_KEPT.names, *(f"keep_{i}" for i in range(len(keep)))])
         first = replies.filter(pc.equal(replies.column("round"), 1))
         texts, ids, run = run_of(table, first)
         low, at = run.low.copy(), range_cuts(run.suffix)
@@ -494,14 +498,18 @@ def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 24 <<
                 last = y
             kept.append(b"".join(left) + text[last:] if left or last else text)
         found = [[{"start": x, "end": y} for x, y in spans.get(i, ())] for i in range(len(texts))]
-        return pa.Table.from_arrays([pa.array(ids), pa.array([len(t) for t in texts], pa.int64()), pa.array(found, _KEPT.field("spans").type), pa.array(kept, pa.binary())], schema=_KEPT)
+        order = pa.array(_texts(table)[2])
+        rest = [table.column(f"keep_{i}").take(order) for i in range(len(keep))]
+        own = [pa.array(ids), pa.array([len(t) for t in texts], pa.int64()), pa.array(found, _KEPT.field("spans").type), pa.array(kept, pa.binary())]
+        return pa.Table.from_arrays([*own, *rest], [*_KEPT.names, *(f"keep_{i}" for i in range(len(keep)))])
 
     shares = held.groupBy("bucket").applyInArrow(sample, schema)
     states = shares.repartition(buckets, "to").groupBy("to").applyInArrow(judge, schema)
     runs = held.groupBy("bucket").cogroup(states.groupBy("to")).applyInArrow(send, schema)
     lows = runs.repartition(buckets, "to").groupBy("to").applyInArrow(merge, schema)
     replies = states.withColumn("round", F.lit(1)).union(lows.withColumn("round", F.lit(2)))
-    return held.groupBy("bucket").cogroup(replies.groupBy("to")).applyInArrow(remove, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    done = held.groupBy("bucket").cogroup(replies.groupBy("to")).applyInArrow(remove, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary" + other_kinds)
+    return done.withColumnsRenamed({f"keep_{i}": c for i, c in enumerate(keep)})
 
 
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
