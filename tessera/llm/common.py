@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterator
 
@@ -24,9 +25,43 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 
 
+def tidy() -> None:
+    """Gives what a task has freed back to the system: Python workers live on, and their tasks differ."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow; Spark bounds its batches by bytes (spark.sql.execution.arrow.maxBytesPerBatch)."""
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            tidy()
+
+    return df.mapInArrow(run, schema)
+
+
+def tidied(fn: Callable) -> Callable:
+    """A function for applyInArrow that tidies up after itself."""
+
+    def two(table: pa.Table, other: pa.Table) -> pa.Table:
+        try:
+            return fn(table, other)
+        finally:
+            tidy()
+
+    def one(table: pa.Table) -> pa.Table:
+        try:
+            return fn(table)
+        finally:
+            tidy()
+
+    return one if fn.__code__.co_argcount == 1 else two
 
 
 def slabs(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int = SLAB_ROWS, chars: int = SLAB_CHARS) -> Iterator[pa.RecordBatch]:
@@ -75,7 +110,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(u, v) links to (node, root): the smallest node that each linked node reaches.
+    """(u, v) links to (node, root): the smallest node that each linked node reaches, for all but those smallest ones.
 
     Alternating large-star and small-star rounds. Every round is two pre-aggregated minima and two joins back to
     them, so the star of a large component is never gathered in one task (the joins are split where they are
@@ -100,4 +135,4 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 
-__all__ = ["WORD", "StorageLevel", "checkpoint_dir", "connected_components", "cut", "hash_sample", "held_out", "map_arrow", "slabs", "table"]
+__all__ = ["WORD", "StorageLevel", "checkpoint_dir", "connected_components", "cut", "hash_sample", "held_out", "map_arrow", "slabs", "table", "tidied", "tidy"]

@@ -5,14 +5,16 @@ bytes from there also start in a document with a smaller id:
 
 1. Sampling. In each window of `length` bytes the k-gram with the smallest hash (leftmost, if several are) is its
    anchor, so equal windows have equal anchors at the same distance; the windows of one anchor are one stretch of
-   text, its context. Per bucket the distinct (anchor hash, context hash) pairs go to the range of hashes that owns
-   them. The reply says of each pair whether its anchor is in one document only (none of its windows is anywhere
-   else), always in the same context (one suffix stands for all its windows), or in several contexts.
-2. Suffixes. Each bucket sorts the suffixes that are left (from the start of a context, or from each window where
-   contexts differ; cut to what must be equal), drops repeats, keeps the smallest doc_id with each, and sends
+   text, its context. Per bucket the distinct anchor hashes go to the range of hashes that owns them. The reply says
+   which anchors are in one document only: none of their windows is anywhere else, and they are done with.
+2. Suffixes. Each bucket sorts the suffixes that start at the anchors that are left (cut to their contexts, what
+   stands before the anchor following in reverse), drops repeats, keeps the smallest doc_id with each, and sends
    front-coded runs to the ranges of the suffix order. There a loser tree merges the runs. It compares the lengths of
-   known common prefixes first and reads bytes only beyond them, so no known prefix is compared again; equal suffixes
-   come out side by side, and the smallest doc_id among them goes back to each run.
+   known common prefixes first and reads bytes only beyond them, so no known prefix is compared again. Suffixes with
+   the same anchor come out side by side; where they differ further on, their windows are compared one by one. The
+   smallest doc_id of each window goes back to each run. An anchor with very many contexts (the first of a passage
+   that many documents hold, each after text of its own) is not gathered: the suffixes that start at each of its
+   windows are sent instead, spread over the whole order, and equal ones meet in the same way.
 3. Removal. Each bucket marks the bytes of the windows whose suffix has a smaller doc_id than their own document.
 
 Sampling loses nothing: a window found in two documents has its anchor in both. What is sent grows with the distinct
@@ -33,9 +35,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slabs
+from .common import map_arrow, slabs, tidied
 
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 _GRAM = 24
 _U = np.uint64
 #: Fixed, arbitrary odd multipliers of the rolling hash, one for each doubling, and of the final mix.
@@ -74,11 +76,12 @@ def _leftmost_minima(h: np.ndarray, width: int) -> np.ndarray:
 
 @dataclass
 class Anchors:
-    """Of each anchor: its document (index), its first window and how many there are, and its two hashes."""
+    """Of each anchor: its document (index), its first window and how many there are, how far it is, and two hashes."""
 
     doc: np.ndarray
     first: np.ndarray
     windows: np.ndarray
+    left: np.ndarray
     gram: np.ndarray
     context: np.ndarray
 
@@ -106,7 +109,7 @@ def _anchors(texts: list[bytes], length: int) -> Anchors:
             context = _mix(context + h[np.minimum(first + skip, end)]) * m
         context = _mix(context + h[end] + n.astype(np.uint64) * _DOUBLE[3] + (place - first).astype(np.uint64) * _DOUBLE[4])
         which = own[head]
-        parts.append((np.array(docs)[which], first - np.array(starts)[which] + shift, n, h[place], context))
+        parts.append((np.array(docs)[which], first - np.array(starts)[which] + shift, n, (place - first).astype(np.int64), h[place], context))
 
     held: list[bytes] = []
     docs: list[int] = []
@@ -129,7 +132,7 @@ def _anchors(texts: list[bytes], length: int) -> Anchors:
     if held:
         add(b"".join(held), docs, starts, 0)
     if not parts:
-        return Anchors(*(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64)))
+        return Anchors(*(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64)))
     return Anchors(*(np.concatenate(c) for c in zip(*parts, strict=True)))
 
 
@@ -145,102 +148,111 @@ def _unpack(raw: bytes, n: int, width: int) -> np.ndarray:
     return out.reshape(-1).view("<u8").astype(np.uint64)
 
 
-# --- round 1: which anchors are shared, and in how many contexts -----------------------------------------------------
+# --- round 1: which anchors are shared ---------------------------------------------------------------------------------
 
-_ALONE, _SAME, _VARIED = 0, 1, 2
+_ALONE, _SHARED, _HOT = 0, 1, 2
 _BITS = _U(48)
 
 
 @dataclass
 class _Pairs:
-    """The distinct (gram, context) pairs of a bucket, in order, with 48 bits of either hash."""
+    """The distinct anchors (48 bits of their hashes) of a bucket and their distinct contexts, in order."""
 
     gram: np.ndarray
-    context: np.ndarray
-    several: np.ndarray  # whether several documents of the bucket have the anchor
+    contexts: np.ndarray  # of each gram: how many
+    several: np.ndarray  # ... and whether several documents of the bucket have it
+    gram_of: np.ndarray  # of each pair of gram and context
     of: np.ndarray  # the pair of each anchor
 
 
 def _pairs(a: Anchors) -> _Pairs:
-    gram, context = a.gram >> (_U(64) - _BITS), a.context >> (_U(64) - _BITS)
-    order = np.lexsort((context, gram))
-    g, c, d = gram[order], context[order], a.doc[order]
+    gram = a.gram >> (_U(64) - _BITS)
+    order = np.lexsort((a.context, gram))
+    g, c, d = gram[order], a.context[order], a.doc[order]
+    of = np.zeros(len(g), dtype=np.int64)
     if not len(g):
-        return _Pairs(g, c, np.zeros(0, dtype=bool), np.zeros(0, dtype=np.int64))
+        return _Pairs(g, of, np.zeros(0, dtype=bool), of, of)
     new_gram = np.concatenate([[True], g[1:] != g[:-1]])
     new = new_gram | np.concatenate([[True], c[1:] != c[:-1]])
     head = np.flatnonzero(new_gram)
     several = np.minimum.reduceat(d, head) != np.maximum.reduceat(d, head)
-    of = np.zeros(len(g), dtype=np.int64)
     of[order] = np.cumsum(new) - 1
-    return _Pairs(g[new], c[new], several[np.cumsum(new_gram) - 1][new], of)
+    return _Pairs(g[head], np.add.reduceat(new.astype(np.int64), head), several, (np.cumsum(new_gram) - 1)[new], of)
 
 
-def _judge(blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """For the pairs of every block of a range of hashes: _ALONE, _SAME or _VARIED."""
-    gram, context, several = (np.concatenate(c) for c in zip(*blocks, strict=True))
+def _judge(blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], hot_contexts: int) -> list[np.ndarray]:
+    """For the grams of every block of a range of hashes: _ALONE, _SHARED or _HOT. A block: grams, contexts, several."""
+    gram, contexts, several = (np.concatenate(c) for c in zip(*blocks, strict=True))
     block = np.repeat(np.arange(len(blocks)), [len(b[0]) for b in blocks])
     out = np.zeros(len(gram), dtype=np.uint8)
     if len(gram):
         order = np.argsort(gram, kind="stable")
-        g = gram[order]
+        g, b = gram[order], block[order]
         head = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        spread = lambda x: np.minimum.reduceat(x, head) != np.maximum.reduceat(x, head)
-        shared = spread(block[order]) | np.maximum.reduceat(several[order], head)
-        state = np.where(shared, np.where(spread(context[order]), _VARIED, _SAME), _ALONE).astype(np.uint8)
+        shared = (np.minimum.reduceat(b, head) != np.maximum.reduceat(b, head)) | np.maximum.reduceat(several[order], head)
+        hot = np.add.reduceat(contexts[order].astype(np.int64), head) > hot_contexts
+        state = np.where(shared, np.where(hot, _HOT, _SHARED), _ALONE).astype(np.uint8)
         out[order] = np.repeat(state, np.diff(np.concatenate([head, [len(g)]])))
-    return np.split(out, np.cumsum([len(b[0]) for b in blocks])[:-1])
+    return np.split(out, np.cumsum([len(x[0]) for x in blocks])[:-1])
 
 
 # --- round 2: the suffixes that are left -----------------------------------------------------------------------------
 
 
-@dataclass
-class _Run:
-    """Sorted distinct suffixes of a bucket, the smallest document of each, and the stretches of text they stand for."""
-
-    suffix: list[bytes]
-    low: np.ndarray
-    doc: np.ndarray  # of each stretch: document, first window, windows, suffix
-    first: np.ndarray
-    windows: np.ndarray
-    of: np.ndarray
-
-
 def _expand(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For counts n: to whom each of n.sum() items belongs, and its number there."""
     return np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
-def _run(texts: list[bytes], ids: np.ndarray, a: Anchors, pairs: _Pairs, state: np.ndarray, length: int) -> _Run:
-    """`state` is that of each pair. A pair is one text wherever it is, so its first anchor speaks for all of them."""
-    n_pairs = len(state)
-    speaker = np.zeros(n_pairs, dtype=np.int64)
-    speaker[pairs.of[::-1]] = np.arange(len(pairs.of))[::-1]
-    units = np.where(state == _SAME, 1, np.where(state == _VARIED, a.windows[speaker] if len(a.windows) else 0, 0))
-    base = np.cumsum(units) - units
-    pair, step = _expand(units)
-    who = speaker[pair]
-    size = np.where(state[pair] == _SAME, a.windows[who] - 1, 0) + length
-    found = [texts[d][f : f + n] for d, f, n in zip(a.doc[who].tolist(), (a.first[who] + step).tolist(), size.tolist(), strict=True)]
-    order = sorted(range(len(found)), key=found.__getitem__)
-    suffix, of_unit, last = [], np.zeros(len(found), dtype=np.int64), None
-    places = []
-    for i in order:
-        if found[i] != last:
-            last = found[i]
-            suffix.append(last)
-        places.append(len(suffix) - 1)
-    of_unit[order] = places
-    left = np.flatnonzero(state[pairs.of] != _ALONE) if n_pairs else np.zeros(0, dtype=np.int64)
-    owner, step = _expand(units[pairs.of[left]])
-    anchor = left[owner]
-    one = state[pairs.of[anchor]] == _SAME
-    of = of_unit[base[pairs.of[anchor]] + step]
-    doc = a.doc[anchor]
-    low = np.full(len(suffix), np.iinfo(np.int64).max)
-    np.minimum.at(low, of, ids[doc])
-    return _Run(suffix, low, doc, a.first[anchor] + step, np.where(one, a.windows[anchor], 1), of)
+@dataclass
+class _Run:
+    """The sorted distinct suffixes of a bucket, and what they stand for.
+
+    A pair of anchor and context is one text wherever it is, so its first place speaks for all; a unit is a window of
+    a pair, base[pair] + its number there.
+    """
+
+    base: np.ndarray
+    windows: np.ndarray  # of each pair, 0 if its anchor is alone
+    suffix: list[bytes]  # from anchors: what follows, then in reverse what stands before
+    left: np.ndarray  # ... how much that is
+    pair: np.ndarray  # ... whose it is
+    low: np.ndarray  # ... its smallest document
+    hot: list[bytes]  # from windows of hot anchors
+    hot_unit: np.ndarray  # units
+    hot_of: np.ndarray  # ... their suffix
+    hot_low: np.ndarray  # of each suffix
+
+
+def _run(texts: list[bytes], ids: np.ndarray, a: Anchors, p: _Pairs, state: np.ndarray, length: int) -> _Run:
+    """`state` is that of each pair."""
+    n = len(state)
+    speaker = np.zeros(n, dtype=np.int64)
+    speaker[p.of[::-1]] = np.arange(len(p.of))[::-1]
+    low = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(low, p.of, ids[a.doc])
+    windows = np.where(state == _ALONE, 0, a.windows[speaker]) if n else np.zeros(0, dtype=np.int64)
+    base = np.cumsum(windows) - windows
+
+    shared = np.flatnonzero(state == _SHARED)
+    who = speaker[shared]
+    found = []
+    for d, f, left, m in zip(a.doc[who].tolist(), a.first[who].tolist(), a.left[who].tolist(), (a.windows[who] + length - 1).tolist(), strict=True):
+        text = texts[d]
+        found.append(text[f + left : f + m] + text[f : f + left][::-1])
+    order = np.array(sorted(range(len(found)), key=found.__getitem__), dtype=np.int64)
+    suffix = [found[i] for i in order.tolist()]
+    pair = shared[order]
+
+    owner, step = _expand(np.where(state == _HOT, windows, 0))
+    starts = (a.first[speaker[owner]] + step).tolist()
+    each = [texts[d][f : f + length] for d, f in zip(a.doc[speaker[owner]].tolist(), starts, strict=True)]
+    hot = sorted(set(each))
+    place = {w: i for i, w in enumerate(hot)}
+    hot_of = np.array([place[w] for w in each], dtype=np.int64)
+    hot_low = np.full(len(hot), np.iinfo(np.int64).max)
+    np.minimum.at(hot_low, hot_of, low[owner])
+    return _Run(base, windows, suffix, a.left[speaker[pair]], pair, low[pair], hot, base[owner] + step, hot_of, hot_low)
 
 
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -282,8 +294,8 @@ def front_decode(raw: bytes) -> tuple[list[bytes], list[int]]:
     return out, shared
 
 
-def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int, int, bool]]:
-    """(run, index, whether it equals the suffix before) over sorted runs, in order, by a loser tree.
+def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int, int, int]]:
+    """(run, index, bytes shared with the suffix before) over sorted runs, in order, by a loser tree.
 
     `known[r]` is what the head of run r shares with the suffix that beat it last (with the last output, for the
     contenders on its path): of two contenders the one that shares more with the same earlier suffix is smaller, and
@@ -320,11 +332,9 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int,
             loser[level + i] = lose
             nxt.append(win)
         winners = nxt
-    win, before = winners[0], -1
+    win = winners[0]
     while heads[win] is not None:
-        own = heads[win]
-        yield win, at[win], before == len(own) == known[win]
-        before = len(own)
+        yield win, at[win], known[win]
         at[win] += 1
         suffixes, shared = runs[win]
         if at[win] < len(suffixes):
@@ -347,17 +357,71 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int,
 
 def _lowest(runs: list[tuple[list[bytes], list[int]]], lows: list[np.ndarray]) -> list[np.ndarray]:
     """For each suffix of each run the smallest document that has it, in any run."""
-    base = np.cumsum([0, *(len(r[0]) for r in runs)])
-    order, equal = np.zeros(base[-1], dtype=np.int64), np.zeros(base[-1], dtype=bool)
-    starts = base.tolist()
-    for k, (run, i, same) in enumerate(merge_runs(runs)):
-        order[k] = starts[run] + i
-        equal[k] = same
-    out = np.concatenate(lows)
-    if len(order):
-        head = np.flatnonzero(~equal)
-        out[order] = np.repeat(np.minimum.reduceat(out[order], head), np.diff(np.concatenate([head, [len(order)]])))
-    return np.split(out, base[1:-1])
+    out = [x.copy() for x in lows]
+    group: list[tuple[int, int]] = []
+
+    def close() -> None:
+        if len(group) > 1:
+            low = min(int(lows[r][i]) for r, i in group)
+            for r, i in group:
+                out[r][i] = low
+
+    for r, i, shared in merge_runs(runs):
+        if group:
+            own, last = runs[r][0][i], runs[group[-1][0]][0][group[-1][1]]
+            if not shared == len(own) == len(last):
+                close()
+                group.clear()
+        group.append((r, i))
+    close()
+    return out
+
+
+def _lowest_windows(runs: list[tuple[list[bytes], list[int]]], lefts: list[np.ndarray], lows: list[np.ndarray], length: int) -> list[np.ndarray]:
+    """For each window of each context (suffixes from anchors) of each run, in order: the smallest document that has it."""
+    sizes = [np.array([len(s) - length + 1 for s in r[0]], dtype=np.int64) for r in runs]
+    ends = [np.cumsum(n) for n in sizes]
+    uniform = [x.copy() for x in lows]
+    special: list[tuple[int, int, list[int]]] = []
+    group: list[tuple[int, int]] = []
+    plain = True  # all of the group are one context
+
+    def close() -> None:
+        if len(group) < 2:
+            return
+        if plain:
+            low = min(int(lows[r][i]) for r, i in group)
+            for r, i in group:
+                uniform[r][i] = low
+            return
+        lowest: dict[bytes, int] = {}
+        keys = []
+        for r, i in group:
+            s, left, low = runs[r][0][i], int(lefts[r][i]), int(lows[r][i])
+            context = (s[len(s) - left :][::-1] + s[: len(s) - left]) if left else s
+            own = [context[w : w + length] for w in range(len(s) - length + 1)]
+            keys.append(own)
+            for k in own:
+                if lowest.setdefault(k, low) > low:
+                    lowest[k] = low
+        for (r, i), own in zip(group, keys, strict=True):
+            special.append((r, i, [lowest[k] for k in own]))
+
+    for r, i, shared in merge_runs(runs):
+        if group:
+            q, j = group[-1]
+            if shared < _GRAM:
+                close()
+                group.clear()
+                plain = True
+            elif plain and not (shared == len(runs[r][0][i]) == len(runs[q][0][j]) and lefts[r][i] == lefts[q][j]):
+                plain = False
+        group.append((r, i))
+    close()
+    out = [np.repeat(u, n) for u, n in zip(uniform, sizes, strict=True)]
+    for r, i, values in special:
+        out[r][ends[r][i] - len(values) : ends[r][i]] = values
+    return out
 
 
 # --- the rounds over the table ---------------------------------------------------------------------------------------
@@ -389,7 +453,7 @@ def _splitters(docs: DataFrame, length: int, ranges: int, sample_docs: int = 400
             some = []
             for t in batch.column("text").to_pylist():
                 raw = t.encode("utf-8", "surrogatepass")
-                some += [raw[i : i + 12] for i in range(0, max(1, len(raw) - length), max(1, len(raw) // 64))]
+                some += [raw[i : i + _GRAM] for i in range(0, max(1, len(raw) - length), max(1, len(raw) // 64))]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary())], ["s"])
 
     n = docs.count()
@@ -398,14 +462,15 @@ def _splitters(docs: DataFrame, length: int, ranges: int, sample_docs: int = 400
     return sorted({found[i * len(found) // ranges] for i in range(1, ranges)}) if found else []
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 24 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 4 << 20, hot_contexts: int = 20_000, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, spans (start, end of each removed stretch, in bytes), kept (the bytes left) and the columns in
     `keep` for every row.
 
     A byte is removed if `length` bytes that cover it also start in a document with a smaller doc_id; all is judged on
     the input. A null text is empty; texts shorter than `length` keep all. Rows that repeat a doc_id are one document
     in this: none of them removes from the others. Columns of other names are not read; an empty table gives an empty
-    result. `bucket_bytes` bounds the text that one task holds, but for a single longer document.
+    result. `bucket_bytes` bounds the text that one task holds, but for a single longer document;
+    anchors with more than `hot_contexts` contexts are compared window by window from the start.
     """
     if not _GRAM < length or 2 * length - _GRAM > 4 * _GRAM:  # four grams cover a context
         raise ValueError("length is out of range")
@@ -417,9 +482,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 24 <<
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *others, F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"))
     # one exchange of the texts serves all three rounds: the plan reuses it, as it does those of the shares
     held = map_arrow(dealt, _compress, f"doc_id long{other_kinds}, bucket int, z binary").repartition(buckets, "bucket")
-    kinds = {"to": "int", "bucket": "int", "n": "int", "a": "binary", "b": "binary"}
-    schema = ", ".join(f"{k} {v}" for k, v in kinds.items())
-    arrow = pa.schema([("to", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
+    arrow = pa.schema([("to", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+    schema = "to int, bucket int, n int, a binary, b binary, c binary"
 
     def rows(found: list[tuple]) -> pa.Table:
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), arrow.types, strict=True)], schema=arrow) if found else arrow.empty_table()
@@ -428,6 +492,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 24 <<
         edges = np.array([(i << 48) // buckets for i in range(1, buckets)], dtype=np.uint64)
         return np.concatenate([[0], np.searchsorted(gram, edges), [len(gram)]])
 
+    def range_cuts(suffix: list[bytes]) -> list[int]:
+        return [0, *(bisect.bisect_left(suffix, b) for b in bounds), len(suffix)]
+
     def sample(table: pa.Table) -> pa.Table:
         texts, _, _ = _texts(table)
         p = _pairs(_anchors(texts, length))
@@ -435,7 +502,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 24 <<
         for r, (a, b) in enumerate(zip(at, at[1:], strict=False)):
             if b > a:
                 step = np.diff(p.gram[a:b], prepend=_U(0)) << _U(1) | p.several[a:b].astype(np.uint64)
-                out.append((r, bucket, int(b - a), _pack(step, 7), _pack(p.context[a:b], 6)))
+                out.append((r, bucket, int(b - a), _pack(step, 7), _pack(p.contexts[a:b], 4), None))
         return rows(out)
 
     def judge(table: pa.Table) -> pa.Table:
@@ -443,72 +510,94 @@ def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 24 <<
         read = []
         for x in blocks:
             step = _unpack(x["a"], x["n"], 7)
-            read.append((np.cumsum(step >> _U(1)), _unpack(x["b"], x["n"], 6), (step & _U(1)).astype(bool)))
-        return rows([(x["bucket"], x["to"], x["n"], zstandard.ZstdCompressor(level=3).compress(s.tobytes()), None) for x, s in zip(blocks, _judge(read), strict=True)])
+            read.append((np.cumsum(step >> _U(1)), _unpack(x["b"], x["n"], 4), (step & _U(1)).astype(bool)))
+        press = zstandard.ZstdCompressor(level=3)
+        return rows([(x["bucket"], x["to"], x["n"], press.compress(s.tobytes()), None, None) for x, s in zip(blocks, _judge(read, hot_contexts), strict=True)])
 
-    def run_of(table: pa.Table, reply: pa.Table) -> tuple[list[bytes], np.ndarray, _Run]:
-        texts, ids, _ = _texts(table)
+    def run_of(texts: list[bytes], ids: np.ndarray, reply: pa.Table) -> tuple[Anchors, _Pairs, _Run]:
         anchors = _anchors(texts, length)
         p = _pairs(anchors)
         at, state = hash_cuts(p.gram), np.zeros(len(p.gram), dtype=np.uint8)
         for x in reply.to_pylist():
             state[at[x["bucket"]] : at[x["bucket"] + 1]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(x["a"]), dtype=np.uint8)
-        return texts, ids, _run(texts, ids, anchors, p, state, length)
-
-    def range_cuts(suffix: list[bytes]) -> list[int]:
-        return [0, *(bisect.bisect_left(suffix, b) for b in bounds), len(suffix)]
+        return anchors, p, _run(texts, ids, anchors, p, state[p.gram_of], length)
 
     def send(table: pa.Table, reply: pa.Table) -> pa.Table:
         if not table.num_rows:
             return rows([])
-        _, _, run = run_of(table, reply)
-        at, bucket = range_cuts(run.suffix), table.column("bucket")[0].as_py()
-        return rows([(q, bucket, b - a, front_code(run.suffix[a:b]), _pack(run.low[a:b].view(np.uint64), 8)) for q, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a])
+        texts, ids, _ = _texts(table)
+        _, _, run = run_of(texts, ids, reply)
+        bucket, out = table.column("bucket")[0].as_py(), []
+        at = range_cuts(run.suffix)
+        for q, (a, b) in enumerate(zip(at, at[1:], strict=False)):
+            if b > a:
+                out.append((q, bucket, b - a, front_code(run.suffix[a:b]), _pack(run.low[a:b].view(np.uint64), 8), _pack(run.left[a:b], 2)))
+        at = range_cuts(run.hot)
+        for q, (a, b) in enumerate(zip(at, at[1:], strict=False)):
+            if b > a:
+                out.append((buckets + q, bucket, b - a, front_code(run.hot[a:b]), _pack(run.hot_low[a:b].view(np.uint64), 8), None))
+        return rows(out)
 
     def merge(table: pa.Table) -> pa.Table:
         blocks = sorted(table.to_pylist(), key=lambda x: x["bucket"])
         lows = [_unpack(x["b"], x["n"], 8).view(np.int64) for x in blocks]
-        found = _lowest([front_decode(x["a"]) for x in blocks], lows)
-        return rows([(x["bucket"], x["to"], x["n"], _pack(f.view(np.uint64), 8), None) for x, f in zip(blocks, found, strict=True)])
+        runs = [front_decode(x["a"]) for x in blocks]
+        if blocks[0]["to"] < buckets:
+            found = _lowest_windows(runs, [_unpack(x["c"], x["n"], 2).astype(np.int64) for x in blocks], lows, length)
+        else:
+            found = _lowest(runs, lows)
+        return rows([(x["bucket"], x["to"], len(f), _pack(f.view(np.uint64), 8), None, None) for x, f in zip(blocks, found, strict=True)])
 
-    def remove(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
+    def remove(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.Table.from_arrays([*_KEPT.empty_table().columns, *(table.column(f"keep_{i}") for i in range(len(keep)))], [*_KEPT.names, *(f"keep_{i}" for i in range(len(keep)))])
-        first = replies.filter(pc.equal(replies.column("round"), 1))
-        texts, ids, run = run_of(table, first)
-        low, at = run.low.copy(), range_cuts(run.suffix)
+        texts, ids, order = _texts(table)
+        anchors, p, run = run_of(texts, ids, replies.filter(pc.equal(replies.column("round"), 1)))
+        low = np.full(int(run.windows.sum()), np.iinfo(np.int64).max)
+        owner, step = _expand(run.windows[run.pair])
+        unit = run.base[run.pair[owner]] + step  # of the windows of the suffixes, in order
+        until = np.concatenate([[0], np.cumsum(run.windows[run.pair])])
+        at, hot_at, hot_low = range_cuts(run.suffix), range_cuts(run.hot), run.hot_low.copy()
         for x in replies.filter(pc.equal(replies.column("round"), 2)).to_pylist():
-            low[at[x["bucket"]] : at[x["bucket"] + 1]] = _unpack(x["a"], x["n"], 8).view(np.int64)
-        gone = low[run.of] < ids[run.doc]
-        doc, a, b = run.doc[gone], run.first[gone], (run.first + run.windows + length - 1)[gone]
-        order = np.lexsort((a, doc))
-        doc, a, b = doc[order], a[order], b[order]
-        spans: dict[int, list[list[int]]] = {}
-        for d, x, y in zip(doc.tolist(), a.tolist(), b.tolist(), strict=True):
-            own = spans.setdefault(d, [])
-            if own and x <= own[-1][1]:
-                own[-1][1] = max(own[-1][1], y)
+            q, values = x["bucket"], _unpack(x["a"], x["n"], 8).view(np.int64)
+            if q < buckets:
+                low[unit[until[at[q]] : until[at[q + 1]]]] = values
             else:
-                own.append([x, y])
+                hot_low[hot_at[q - buckets] : hot_at[q - buckets + 1]] = values
+        low[run.hot_unit] = hot_low[run.hot_of]
+        left = np.flatnonzero(run.windows[p.of] > 0)
+        owner, step = _expand(run.windows[p.of[left]])
+        anchor = left[owner]
+        doc, first = anchors.doc[anchor], anchors.first[anchor] + step
+        gone = low[run.base[p.of[anchor]] + step] < ids[doc]
+        doc, first = doc[gone], first[gone]
+        by = np.lexsort((first, doc))
+        doc, first = doc[by], first[by]
+        spans: dict[int, list[tuple[int, int]]] = {}
+        if len(doc):
+            apart = np.concatenate([[True], (doc[1:] != doc[:-1]) | (first[1:] > first[:-1] + length)])
+            head = np.flatnonzero(apart)
+            last = np.concatenate([head[1:], [len(doc)]]) - 1
+            for d, x, y in zip(doc[head].tolist(), first[head].tolist(), (first[last] + length).tolist(), strict=True):
+                spans.setdefault(d, []).append((x, y))
         kept = []
         for i, text in enumerate(texts):
-            last, left = 0, []
+            last_end, parts = 0, []
             for x, y in spans.get(i, ()):
-                left.append(text[last:x])
-                last = y
-            kept.append(b"".join(left) + text[last:] if left or last else text)
+                parts.append(text[last_end:x])
+                last_end = y
+            kept.append(b"".join([*parts, text[last_end:]]) if parts else text)
         found = [[{"start": x, "end": y} for x, y in spans.get(i, ())] for i in range(len(texts))]
-        order = pa.array(_texts(table)[2])
-        rest = [table.column(f"keep_{i}").take(order) for i in range(len(keep))]
+        rest = [table.column(f"keep_{i}").take(pa.array(order)) for i in range(len(keep))]
         own = [pa.array(ids), pa.array([len(t) for t in texts], pa.int64()), pa.array(found, _KEPT.field("spans").type), pa.array(kept, pa.binary())]
         return pa.Table.from_arrays([*own, *rest], [*_KEPT.names, *(f"keep_{i}" for i in range(len(keep)))])
 
-    shares = held.groupBy("bucket").applyInArrow(sample, schema)
-    states = shares.repartition(buckets, "to").groupBy("to").applyInArrow(judge, schema)
-    runs = held.groupBy("bucket").cogroup(states.groupBy("to")).applyInArrow(send, schema)
-    lows = runs.repartition(buckets, "to").groupBy("to").applyInArrow(merge, schema)
+    shares = held.groupBy("bucket").applyInArrow(tidied(sample), schema)
+    states = shares.repartition(buckets, "to").groupBy("to").applyInArrow(tidied(judge), schema)
+    runs = held.groupBy("bucket").cogroup(states.groupBy("to")).applyInArrow(tidied(send), schema)
+    lows = runs.repartition(2 * buckets, "to").groupBy("to").applyInArrow(tidied(merge), schema)
     replies = states.withColumn("round", F.lit(1)).union(lows.withColumn("round", F.lit(2)))
-    done = held.groupBy("bucket").cogroup(replies.groupBy("to")).applyInArrow(remove, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary" + other_kinds)
+    done = held.groupBy("bucket").cogroup(replies.groupBy("to")).applyInArrow(tidied(remove), "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary" + other_kinds)
     return done.withColumnsRenamed({f"keep_{i}": c for i, c in enumerate(keep)})
 
 
