@@ -25,7 +25,7 @@ from .types import ColumnDef, kind_of
 HELP = """SELECT ... | INSERT INTO t VALUES (...) | UPDATE t SET c = e [WHERE p] | DELETE FROM t [WHERE p]
 CREATE TABLE t (c TYPE(n), ...) | CREATE INDEX i ON t(c)
 BEGIN | COMMIT | ROLLBACK
-TABLES | INDEXES | DUMP t [limit [offset]] | VACUUM [t] | PLANS [n] | LOGS [n] | MEM | EXPLAIN select | HELP | EXIT"""
+TABLES | INDEXES | CATALOG | DUMP t [limit [offset]] | VACUUM [t] | PLANS [n] | LOGS [n] | MEM | EXPLAIN select | HELP | EXIT"""
 
 
 @dataclass
@@ -41,8 +41,13 @@ class Result:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, max_bytes: int | None = None, plan_history: int = 128):
+    """Opens what is under `root`. After a writer has died in a transaction, `recover` takes its lock away; what it
+    had not committed is in no version, and VACUUM deletes it."""
+
+    def __init__(self, spark: SparkSession, root: str, max_bytes: int | None = None, plan_history: int = 128, recover: bool = False):
         self.spark, self.store, self.max_bytes = spark, Store(spark, root), max_bytes
+        if recover:
+            self.store.unlock()
         self.committed: State = self.store.load()
         self.staged: State | None = None
         self.new: list[Segment] = []  # written by the open transaction
@@ -297,6 +302,7 @@ class Engine:
             "ROLLBACK": lambda: (self.rollback(), Result(message="rolled back"))[1],
             "TABLES": lambda: Result(self.tables()),
             "INDEXES": lambda: Result(self.indexes()),
+            "CATALOG": lambda: Result(self.system_catalog()),
             "MEM": lambda: Result(self.memory()),
             "HELP": lambda: Result(message=HELP),
         }
@@ -328,6 +334,15 @@ class Engine:
         rows = [(i.name, i.table, i.column, i.unique) for i in self.state.indexes.values()]
         return self.spark.createDataFrame(rows, "index_name string, table_name string, column_name string, is_unique boolean")
 
+    def system_catalog(self) -> DataFrame:
+        """The catalog as two system tables in one: SYS_TABLES and SYS_INDEXES with a line of text for each entry."""
+        rows = [("SYS_TABLES", t.name, ", ".join(f"{c.name}:{c.kind}:{c.length}" for c in t.columns) + f" records={sum(s.rows for s in t.segments)}") for t in self.state.tables.values()]
+        rows += [("SYS_INDEXES", i.name, f"{i.table}({i.column}) unique={i.unique}") for i in self.state.indexes.values()]
+        return self.spark.createDataFrame(rows, "catalog string, name string, description string")
+
+    def flush(self) -> None:
+        """Nothing is held back: a commit is in the store when it returns."""
+
     def describe_index(self, name: str) -> list[str]:
         """The files that an index is in, with their sizes."""
         table = self.state.table(self.state.index(name).table)
@@ -335,7 +350,9 @@ class Engine:
 
     def dump(self, table: str, limit: int = 0, offset: int = 0) -> DataFrame:
         """The rows of a table with the file and the place in it where each is; limit 0 is all."""
-        df = self.table(table).select("*", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.row_index").alias("row_index")) if self.state.tables.get(table.lower()) is None or self.state.table(table).segments else self.table(table)
+        df = self.table(table)
+        if table.lower() not in self.external and self.state.table(table).segments:
+            df = df.select("*", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.row_index").alias("row_index"))
         df = df.offset(offset) if offset else df
         return df.limit(limit) if limit else df
 

@@ -136,6 +136,23 @@ def test_rollback_and_commit(engine, spark):
     assert len(rows(Engine(spark, engine.store.files.root), "SELECT * FROM users")) == 5
 
 
+def test_recovery_after_a_lost_writer(engine, spark):
+    engine.execute("BEGIN")
+    engine.execute("INSERT INTO users VALUES (7, 'Gus', 7)")
+    with pytest.raises(TransactionProblem):
+        Engine(spark, engine.store.files.root).execute("DELETE FROM users")
+    other = Engine(spark, engine.store.files.root, recover=True)  # the first writer is gone for good
+    assert len(rows(other, "SELECT * FROM users")) == 4
+    assert other.vacuum("users")["users"]["cleared"] >= 1
+    assert other.execute("DELETE FROM users WHERE id = 1").changed == 1
+    engine.staged = None
+
+
+def test_dump_of_a_registered_table(engine, spark):
+    engine.register("numbers", spark.range(5))
+    assert engine.dump("numbers", 2, 1).count() == 2
+
+
 def test_persistence_and_journal(engine, spark):
     other = Engine(spark, engine.store.files.root)
     assert rows(other, "SELECT name FROM users WHERE id = 2") == [("Bob",)]
@@ -217,7 +234,7 @@ def test_shell(engine):
     text = answer(engine, "SELECT name, age FROM users ORDER BY id LIMIT 1")
     assert "| Alice" in text and "(1 rows)" in text
     assert answer(engine, "SELECT x FROM users").startswith("error: no column x")
-    for line in ("TABLES", "INDEXES", "DUMP users", "DUMP users 2 1", "PLANS", "LOGS 2", "MEM", "HELP", "EXPLAIN SELECT * FROM users", "VACUUM"):
+    for line in ("TABLES", "INDEXES", "CATALOG", "DUMP users", "DUMP users 2 1", "PLANS", "LOGS 2", "MEM", "HELP", "EXPLAIN SELECT * FROM users", "VACUUM"):
         assert "error" not in answer(engine, line).lower()[:6]
     assert "(2 rows)" in answer(engine, "DUMP users 2 1")
     assert "NULL" in render(engine.sql("SELECT NULL AS n FROM users"))
