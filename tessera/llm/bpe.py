@@ -24,7 +24,7 @@ import numpy as np
 import regex
 
 LONG = 96
-_MEMO, _MEMO_LENGTH, _ROWS = 500_000, 40, 8192
+_MEMO, _MEMO_LENGTH, _ROWS = 300_000, 40, 8192
 _NONE = 1 << 30
 
 # Fixed value: the pre-token pattern of the vocabulary's byte-level pre-tokenizer.
@@ -120,8 +120,11 @@ class Merger:
             done = low == _NONE
             if done.any():
                 ended = parts[done]
-                for i, row, n in zip(own[done].tolist(), ended, (ended >= 0).sum(axis=1).tolist(), strict=True):
-                    out[i] = row[:n].tobytes()
+                whole = ended >= 0
+                blob, at = ended[whole].tobytes(), 0
+                for i, end in zip(own[done].tolist(), (4 * np.cumsum(whole.sum(axis=1))).tolist(), strict=True):
+                    out[i] = blob[at:end]
+                    at = end
                 more = ~done
                 parts, ranks, own, low_at, low = parts[more], ranks[more], own[more], low_at[more], low[more]
             if not len(own):
@@ -142,25 +145,35 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.merger = vocabulary, Merger(vocabulary)
-        self._pieces: dict[str, bytes] = {}  # what stands between cuts, without the space before it
-        self._words: dict[str, bytes] = {}
+        self._pieces: dict[str, bytes] = {}  # what stands between cuts, and words, without the space before them
+        self._elder: dict[str, bytes] = {}
+        self._words: dict[str, bytes] = {}  # words that no space leads
 
     @staticmethod
     def words(text: str) -> list[str]:
         """The pre-tokens of a text."""
         return (_GENERAL if _NOT_LATIN.search(text) else _LATIN).findall(text)
 
-    def _learn_words(self, words: set[str]) -> None:
-        """Puts the ids of unknown words into the memo, short ones by many at once."""
-        if len(self._words) + len(words) > _MEMO:
-            self._words.clear()
-        new = sorted(((w.encode("utf-8", "surrogatepass"), w) for w in words if w not in self._words), key=lambda x: len(x[0]))
-        end = bisect.bisect_right(new, LONG, key=lambda x: len(x[0]))
-        for a in range(0, end, _ROWS):
-            some = new[a : min(a + _ROWS, end)]
-            self._words.update(zip([w for _, w in some], self.merger.merge([r for r, _ in some]), strict=True))
-        for raw, w in new[end:]:
-            self._words[w] = array("I", merge_long([self.vocabulary.byte_id[b] for b in raw], self.vocabulary.rank)).tobytes()
+    def _merge(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, short ones by many at once."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        by_size: dict[int, list[int]] = {}
+        for i, r in enumerate(raw):
+            by_size.setdefault(len(r), []).append(i)
+        out, some = [b""] * len(words), []
+        for size in sorted(by_size):
+            if size > LONG:
+                for i in by_size[size]:
+                    out[i] = array("I", merge_long([self.vocabulary.byte_id[b] for b in raw[i]], self.vocabulary.rank)).tobytes()
+                continue
+            some += by_size[size]
+            if len(some) >= _ROWS or size == max(n for n in by_size if n <= LONG):
+                for a in range(0, len(some), _ROWS):
+                    rows = some[a : a + _ROWS]
+                    for i, ids in zip(rows, self.merger.merge([raw[i] for i in rows]), strict=True):
+                        out[i] = ids
+                some = []
+        return out
 
     def _split(self, text: str) -> tuple[list[str], list[str]]:
         """The words before the first cut, and the pieces after the cuts."""
@@ -190,29 +203,53 @@ class Encoder:
         for head, pieces in split:
             heads.update(head)
             wanted.update(pieces)
+        if len(self._pieces) > _MEMO // 2:  # what the next texts use again comes back from the elder half
+            self._elder, self._pieces = self._pieces, {}
         known = self._pieces
         missing = wanted.difference(known)
-        if len(known) + len(missing) > _MEMO:
-            known.clear()
-            missing = wanted
-        inside = {p: self.words(" " + p) for p in missing}
-        self._learn_words(heads.union(*inside.values()))
-        ids = self._words.__getitem__
+        again = missing.intersection(self._elder)
+        known.update(zip(again, map(self._elder.__getitem__, again), strict=True))
+        missing -= again
+        inside: dict[str, list[str]] = {}
+        alone: list[str] = []  # pieces that are one word
+        for p in missing:
+            if p.isalpha() and (p.isascii() or not _NOT_LATIN.search(p)):
+                alone.append(p)
+            elif len(words := self.words(" " + p)) == 1:
+                alone.append(p)
+            else:
+                inside[p] = words
+        parts = heads.union(*inside.values())
+        led = {w[1:] for w in parts if len(w) > 1 and w[0] == " "}.difference(known).difference(alone)
+        alone += led
+        known.update(zip(alone, self._merge([" " + p for p in alone]), strict=True))
+        rest = [w for w in parts if (len(w) == 1 or w[0] != " ") and w not in self._words]
+        if len(self._words) + len(rest) > _MEMO:
+            self._words.clear()
+            rest = [w for w in parts if len(w) == 1 or w[0] != " "]
+        self._words.update(zip(rest, self._merge(rest), strict=True))
+        own = self._words
+
+        def ids(w: str) -> bytes:
+            return known[w[1:]] if len(w) > 1 and w[0] == " " else own[w]
+
         for p, words in inside.items():
-            known[p] = ids(words[0]) if len(words) == 1 else b"".join(map(ids, words))
+            known[p] = b"".join([ids(w) for w in words])
         get = known.__getitem__
-        encoded = [b"".join(map(ids, head)) + b"".join(map(get, pieces)) for head, pieces in split]
-        for p, words in inside.items():  # long ones stay for this call only
-            if len(p) > _MEMO_LENGTH:
-                del known[p]
-                for w in words:
-                    if len(w) > _MEMO_LENGTH:
-                        self._words.pop(w, None)
+        encoded = [b"".join([*map(ids, head), *map(get, pieces)]) for head, pieces in split]
+        for memo, new in ((known, (*alone, *inside)), (own, rest)):  # long ones stay for this call only
+            for x in new:
+                if len(x) > _MEMO_LENGTH:
+                    del memo[x]
         return [encoded[o[0]] if len(o) == 1 else b"".join(x if isinstance(x, bytes) else encoded[x] for x in o) for o in order]
 
     def encode(self, text: str) -> bytes:
         return self.encode_batch([text])[0]
 
+    def forget(self) -> None:
+        """Empties the memo, as at the end of a task."""
+        self._pieces, self._elder, self._words = {}, {}, {}
+
     def decode(self, ids: bytes) -> str:
         """The text of ids: their bytes, read as UTF-8 with replacement characters where they are none."""
         numbers = array("I")
@@ -244,5 +281,6 @@ def encode_documents(docs, path: str):
                 [batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([own.decode(x) for x in ids], pa.string())],
                 ["doc_id", "n_tokens", "ids", "decoded"],
             )
+        own.forget()
 
     return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary, decoded string")

@@ -123,6 +123,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, wi
                         held.append(piece)
             columns = [batch.column("doc_id").take(pa.array(of, pa.int64())), *(pa.array(c, pa.int64()) for c in (start, length, crc, tokens))]
             yield pa.RecordBatch.from_arrays([*columns, *[pa.array(held, pa.binary())] * with_ids], names)
+        own.forget()
 
     return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
 

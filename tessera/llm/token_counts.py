@@ -125,6 +125,7 @@ def count_tokens(docs: DataFrame, path: str, rules: tuple[tuple[str, str], ...]
                 edited.append(tree.text)
             columns = [pa.array(c, pa.int64()) for c in (before, edits, after, again)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, pa.array(edited, pa.string())], ["doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_chars_again", "edited"])
+        own.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens long, n_edits long, n_tokens_edited long, n_chars_again long, edited string")
