@@ -116,22 +116,25 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     them, so the star of a large component is never gathered in one task (the joins are split where they are
     skewed); the edges never grow in number. Nodes without a link are not in the result.
     """
-    spark = edges.sparkSession
     e = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
-    seen = None
-    for _ in range(rounds):
+
+    def state() -> tuple:
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    seen = state()
+    for _ in range(rounds if seen[0] else 0):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u")
         e = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == seen:
+        if (now := state()) == seen:
             break
         seen = now
     else:
-        raise RuntimeError("the components did not settle")
+        if seen[0]:
+            raise RuntimeError("the components did not settle")
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 
