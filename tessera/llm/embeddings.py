@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, hash_sample, map_arrow
+from .common import connected_components, cut, hash_sample, map_arrow, tidied
 
 _LEAF, _TRIES, _ROWS = 32, 64, 512
 _SLACK = 1e-7
@@ -207,7 +207,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, max_centres: in
     classes = cut(keyed.groupBy("of", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")))
 
     centres: dict[int, list] = {}
-    for row in hash_sample(classes.select("vec_id", "of", "embedding"), "vec_id", max_centres).orderBy("vec_id").limit(2 * max_centres).collect():
+    wanted = min(max_centres, 2 * max(1, -(-classes.count() // block_rows)))  # more cells than blocks would only send more
+    for row in hash_sample(classes.select("vec_id", "of", "embedding"), "vec_id", wanted).orderBy("vec_id").limit(2 * max_centres).collect():
         centres.setdefault(row["of"], []).append(row["embedding"])
     shared = spark.sparkContext.broadcast({k: unit(np.array(v, dtype=np.float64)) for k, v in centres.items()})
     kind = "vec_id long, of long, copies long, embedding array<double>"
@@ -279,7 +280,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, max_centres: in
                 )
 
     dealt = map_arrow(homed, spread, "of long, block_a long, block_b long, side int, vec_id long, copies long, embedding array<double>")
-    met = cut(dealt.groupBy("of", "block_a", "block_b").applyInArrow(_meet(threshold), "vec_id long, n long, other long"))
+    met = cut(dealt.groupBy("of", "block_a", "block_b").applyInArrow(tidied(_meet(threshold)), "vec_id long, n long, other long"))
     roots = connected_components(met.select(F.col("vec_id").alias("u"), F.col("other").alias("v")))
     counted = met.groupBy("vec_id").agg(F.sum("n").alias("n"))
     named = (
