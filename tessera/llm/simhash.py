@@ -183,9 +183,9 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, dis
     empty text and one without words are alike. doc_id is taken to be a key: rows that repeat one share its result.
     """
     table = cut(map_arrow(docs.select("doc_id", "text"), _signatures(words, bands, rows), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, same binary, bands array<bigint>, sketch binary"))
-    lows = table.groupBy("same").agg(F.min("doc_id").alias("low"))
-    reps = table.join(lows, "same").filter("doc_id = low").dropDuplicates(["same"])
-    filed = reps.select("doc_id", "fp", F.explode("bands").alias("band"))
+    lows = cut(table.groupBy("same").agg(F.min("doc_id").alias("low")))
+    reps = lows.select(F.col("low").alias("doc_id"))
+    filed = table.select("doc_id", "fp", "bands").join(reps, "doc_id", "left_semi").select("doc_id", "fp", F.explode("bands").alias("band"))
     leaders = (
         filed.groupBy("band")
         .agg(F.min(F.struct("doc_id", "fp")).alias("first"), F.min(F.struct(F.xxhash64("doc_id", "band").alias("h"), "doc_id", "fp")).alias("other"), F.count("*").alias("n"))
@@ -194,8 +194,9 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, dis
     )
     differ = F.col("fp").bitwiseXOR(F.col("leader.fp"))
     met = filed.join(leaders, "band").filter(F.col("doc_id") != F.col("leader.doc_id")).filter(_ring_passes(differ, distance) & (F.bit_count(differ) <= distance))
-    pairs = met.select(F.greatest("doc_id", "leader.doc_id").alias("u"), F.least("doc_id", "leader.doc_id").alias("v")).distinct()
-    sketches = reps.select("doc_id", "sketch")
+    pairs = cut(met.select(F.greatest("doc_id", "leader.doc_id").alias("u"), F.least("doc_id", "leader.doc_id").alias("v")).distinct())
+    needed = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
+    sketches = cut(table.select("doc_id", "sketch").join(needed, "doc_id", "left_semi"))  # those of all documents move once
     both = pairs.join(sketches.select(F.col("doc_id").alias("u"), F.col("sketch").alias("a")), "u").join(sketches.select(F.col("doc_id").alias("v"), F.col("sketch").alias("b")), "v")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
