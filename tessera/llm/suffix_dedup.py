@@ -462,14 +462,14 @@ def _splitters(docs: DataFrame, length: int, ranges: int, sample_docs: int = 400
     return sorted({found[i * len(found) // ranges] for i in range(1, ranges)}) if found else []
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 4 << 20, hot_contexts: int = 20_000, keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 4 << 20, hot_contexts: int = 20_000, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, spans (start, end of each removed stretch, in bytes), kept (the bytes left) and the columns in
     `keep` for every row.
 
     A byte is removed if `length` bytes that cover it also start in a document with a smaller doc_id; all is judged on
     the input. A null text is empty; texts shorter than `length` keep all. Rows that repeat a doc_id are one document
     in this: none of them removes from the others. Columns of other names are not read; an empty table gives an empty
-    result. `bucket_bytes` bounds the text that one task holds, but for a single longer document;
+    result. With `as_text` kept is a string, without the bytes of characters that were cut in two. `bucket_bytes` bounds the text that one task holds, but for a single longer document;
     anchors with more than `hot_contexts` contexts are compared window by window from the start.
     """
     if not _GRAM < length or 2 * length - _GRAM > 4 * _GRAM:  # four grams cover a context
@@ -482,6 +482,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 4 << 2
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *others, F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"))
     # one exchange of the texts serves all three rounds: the plan reuses it, as it does those of the shares
     held = map_arrow(dealt, _compress, f"doc_id long{other_kinds}, bucket int, z binary").repartition(buckets, "bucket")
+    kept_schema = _KEPT.set(3, pa.field("kept", pa.string())) if as_text else _KEPT
     arrow = pa.schema([("to", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
     schema = "to int, bucket int, n int, a binary, b binary, c binary"
 
@@ -550,7 +551,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 4 << 2
 
     def remove(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.Table.from_arrays([*_KEPT.empty_table().columns, *(table.column(f"keep_{i}") for i in range(len(keep)))], [*_KEPT.names, *(f"keep_{i}" for i in range(len(keep)))])
+            return pa.Table.from_arrays([*kept_schema.empty_table().columns, *(table.column(f"keep_{i}") for i in range(len(keep)))], [*_KEPT.names, *(f"keep_{i}" for i in range(len(keep)))])
         texts, ids, order = _texts(table)
         anchors, p, run = run_of(texts, ids, replies.filter(pc.equal(replies.column("round"), 1)))
         low = np.full(int(run.windows.sum()), np.iinfo(np.int64).max)
@@ -589,7 +590,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 4 << 2
             kept.append(b"".join([*parts, text[last_end:]]) if parts else text)
         found = [[{"start": x, "end": y} for x, y in spans.get(i, ())] for i in range(len(texts))]
         rest = [table.column(f"keep_{i}").take(pa.array(order)) for i in range(len(keep))]
-        own = [pa.array(ids), pa.array([len(t) for t in texts], pa.int64()), pa.array(found, _KEPT.field("spans").type), pa.array(kept, pa.binary())]
+        own = [pa.array(ids), pa.array([len(t) for t in texts], pa.int64()), pa.array(found, _KEPT.field("spans").type), pa.array([k.decode("utf-8", "ignore") for k in kept] if as_text else kept, kept_schema.field("kept").type)]
         return pa.Table.from_arrays([*own, *rest], [*_KEPT.names, *(f"keep_{i}" for i in range(len(keep)))])
 
     shares = held.groupBy("bucket").applyInArrow(tidied(sample), schema)
@@ -597,7 +598,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 4 << 2
     runs = held.groupBy("bucket").cogroup(states.groupBy("to")).applyInArrow(tidied(send), schema)
     lows = runs.repartition(2 * buckets, "to").groupBy("to").applyInArrow(tidied(merge), schema)
     replies = states.withColumn("round", F.lit(1)).union(lows.withColumn("round", F.lit(2)))
-    done = held.groupBy("bucket").cogroup(replies.groupBy("to")).applyInArrow(tidied(remove), "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary" + other_kinds)
+    done = held.groupBy("bucket").cogroup(replies.groupBy("to")).applyInArrow(tidied(remove), "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept " + ("string" if as_text else "binary") + other_kinds)
     return done.withColumnsRenamed({f"keep_{i}": c for i, c in enumerate(keep)})
 
 
