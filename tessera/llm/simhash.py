@@ -115,6 +115,8 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 # --- similarity of sets of shingles: documents that are alike, not only of one fingerprint --------------------------
 
 _SKETCH = 512
+#: Documents and shingles of one block; two blocks are compared at a time, a longer document is a block's only one.
+_BLOCK_DOCS, _BLOCK_SHINGLES = 1024, 250_000
 
 
 def _ring_passes(differ: Column, distance: int) -> Column:
@@ -141,23 +143,37 @@ def _signatures(words: int, bands: int, rows: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slabs(batches):
-            fps, same, keys, sketches = [], [], [], []
+            fps, same, keys, sizes = [], [], [], []
             for text in batch.column("text").to_pylist():
                 h = shingle_hashes(text, words)
+                own = np.unique(h.astype("<u8"))
                 fps.append(fingerprint(h))
                 same.append(xxhash.xxh3_128_digest(h.tobytes()))
-                own = np.unique(h.astype(np.uint64))
                 low = np.array([(own * t + p).min() for t, p in zip(times, plus, strict=True)], dtype=np.uint64).reshape(bands, rows) if len(own) else None
                 keys.append([] if low is None else [xxhash.xxh64_intdigest(low[b].tobytes(), b) - (1 << 63) for b in range(bands)])
-                sketches.append((own[:_SKETCH] >> np.uint64(32)).astype("<u4").tobytes())
+                sizes.append(len(own))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                ["doc_id", "fp", "same", "bands", "sketch"],
+                [batch.column("doc_id"), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())],
+                ["doc_id", "fp", "same", "bands", "size"],
             )
 
     return run
 
 
+def _sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slabs(batches):
+            lists = [shingle_hashes(t, words) for t in batch.column("text").to_pylist()]
+            sets = [np.unique(h.astype("<u8")).tobytes() for h in lists]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in lists], pa.binary()), pa.array(sets, pa.binary())], ["same", "hashes"])
+
+    return run
+
+
+def _sketch(hashes: bytes) -> bytes:
+    return (np.frombuffer(hashes, dtype="<u8")[:_SKETCH] >> np.uint64(32)).astype("<u4").tobytes()
+
+
 def sketch_similarity(a: bytes, b: bytes) -> float:
     """Jaccard similarity from two bottom sketches: exact if both hold their whole sets."""
     x, y = np.frombuffer(a, dtype="<u4"), np.frombuffer(b, dtype="<u4")
@@ -171,39 +187,120 @@ def sketch_similarity(a: bytes, b: bytes) -> float:
     return float((n == 2).sum() / len(n))
 
 
+def block_links(roots: list[bytes], blocks: list[int], bands: np.ndarray, place: int, sets: list[bytes], similarity: float) -> list[tuple[bytes, bytes]]:
+    """Roots to link so that every alike pair of one block, or of two different ones, is connected.
+
+    Pairs that an earlier band proposes are left to it, and those that are connected by then are not compared.
+    """
+    of: dict[bytes, int] = {}
+    component = np.array([of.setdefault(r, len(of)) for r in roots])
+    if len(of) < 2:
+        return []
+    hashes = [np.frombuffer(s, dtype="<u8") for s in sets]
+    sizes = np.array([len(h) for h in hashes])
+    found, ids, n = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    several = n[ids] > 1
+    ends = np.concatenate([[0], np.cumsum(several)])[np.concatenate([[0], np.cumsum(sizes)])]
+    ids, mark, block = ids[several], np.zeros(len(found), dtype=bool), np.array(blocks)
+    two, links = block.min() != block.max(), []
+    for i in range(len(roots)):
+        todo = component != component[i]
+        if two:
+            todo &= (block != block[i]) if block[i] == block.min() else False
+        else:
+            todo[: i + 1] = False
+        todo &= np.minimum(sizes, sizes[i]) / np.maximum(sizes, sizes[i]) >= similarity
+        if place and todo.any():
+            todo &= ~(bands[:, :place] == bands[i, :place]).any(axis=1)
+        if not todo.any():
+            continue
+        own = ids[ends[i] : ends[i + 1]]
+        mark[own] = True
+        both = np.diff(np.concatenate([[0], np.cumsum(mark[ids])])[ends])
+        mark[own] = False
+        for j in np.flatnonzero(todo & (both / (sizes + sizes[i] - both) >= similarity)).tolist():
+            if component[j] != component[i]:
+                links.append((roots[i], roots[j]))
+                component[component == component[j]] = component[i]
+    return links
+
+
+def _compare(similarity: float):
+    """Runs of rows of one cell (place, band, two blocks), as they come sorted."""
+
+    def links(held: list[pa.RecordBatch]) -> list[tuple[bytes, bytes]]:
+        cell = pa.Table.from_batches(held)
+        bands = np.array(cell.column("bands").to_pylist(), dtype=np.int64)
+        return block_links(cell.column("root").to_pylist(), cell.column("block").to_pylist(), bands, cell.column("place")[0].as_py(), cell.column("hashes").to_pylist(), similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+        for batch in batches:
+            found, start = [], 0
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("place", "band", "one", "two")), strict=True))
+            for i, k in enumerate(keys):
+                if k != key:
+                    if i > start:
+                        held.append(batch.slice(start, i - start))
+                    if held:
+                        found += links(held)
+                    held, key, start = [], k, i
+            if batch.num_rows > start:
+                held.append(batch.slice(start))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], ["u", "v"])
+        if held and (found := links(held)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], ["u", "v"])
+
+    return run
+
+
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 18, bands: int = 12, rows: int = 3) -> DataFrame:
     """doc_id and component_id (smallest doc_id of its group) for every row.
 
-    Documents whose sets of shingles have a Jaccard similarity of `similarity` or more are linked, by their SimHash
-    fingerprints: a pair of such sets differs in about 10 of 64 bits, and in more than `distance` once in hundreds.
-    No exact key is left at that distance, so pairs are proposed by bands of minima of the shingle hashes (one of 12
-    bands of 3 agrees for 0.9998 of the pairs at 0.8), each document with the smallest and one more document of its
-    bands; the pigeonring filter and the full distance prune them before sets are compared, by the 512 smallest
-    shingle hashes (exact up to 512 shingles). Texts with the same shingles are one class from the start. A null, an
-    empty text and one without words are alike. doc_id is taken to be a key: rows that repeat one share its result.
+    Documents whose sets of shingles have a Jaccard similarity of `similarity` or more are linked. Pairs are proposed by
+    bands of minima of the shingle hashes (one of 12 bands of 3 agrees for 0.9998 of the pairs at 0.8); pairs with a
+    leader are decided by the 512 smallest shingle hashes, the others on the two whole sets. SimHash fingerprints only give the order: first each
+    document meets the smallest and one more document of its bands, if the pigeonring filter and `distance` let them
+    pass; then all pairs of a band that are not connected by those links are compared, in blocks, whatever their
+    fingerprints. Texts with the same shingles are one class from the start. A null, an empty text and one
+    without words are alike. doc_id is taken to be a key: rows that repeat one share its result.
     """
-    table = cut(map_arrow(docs.select("doc_id", "text"), _signatures(words, bands, rows), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, same binary, bands array<bigint>, sketch binary"))
-    lows = cut(table.groupBy("same").agg(F.min("doc_id").alias("low")))
-    reps = lows.select(F.col("low").alias("doc_id"))
-    filed = table.select("doc_id", "fp", "bands").join(reps, "doc_id", "left_semi").select("doc_id", "fp", F.explode("bands").alias("band"))
-    leaders = (
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    table = cut(map_arrow(docs.select("doc_id", "text"), _signatures(words, bands, rows), f"doc_id {kind}, fp long, same binary, bands array<bigint>, size long"))
+    classes = cut(table.groupBy("same").agg(F.min("doc_id").alias("low"), *(F.first(c).alias(c) for c in ("fp", "bands", "size"))))
+    filed = classes.select("same", "low", "fp", F.explode("bands").alias("band"))
+    leaders = cut(
         filed.groupBy("band")
-        .agg(F.min(F.struct("doc_id", "fp")).alias("first"), F.min(F.struct(F.xxhash64("doc_id", "band").alias("h"), "doc_id", "fp")).alias("other"), F.count("*").alias("n"))
+        .agg(F.min(F.struct("low", "same", "fp")).alias("first"), F.min(F.struct(F.xxhash64("same", "band").alias("h"), "same", "fp")).alias("other"), F.count("*").alias("n"))
         .filter("n > 1")
-        .select("band", F.explode(F.array("first", F.struct(F.col("other.doc_id"), F.col("other.fp")))).alias("leader"))
+        .select("band", F.explode(F.array(F.struct("first.same", "first.fp"), F.struct("other.same", "other.fp"))).alias("leader"))
     )
+    crowd = cut(filed.join(leaders.select("band").distinct(), "band", "left_semi").select("same", "low").distinct())
+    texts = docs.select("doc_id", "text").join(crowd.select("low").distinct(), F.col("doc_id").eqNullSafe(F.col("low")), "left_semi")
+    sets = cut(map_arrow(texts, _sets(words), "same binary, hashes binary").dropDuplicates(["same"]))
+
     differ = F.col("fp").bitwiseXOR(F.col("leader.fp"))
-    met = filed.join(leaders, "band").filter(F.col("doc_id") != F.col("leader.doc_id")).filter(_ring_passes(differ, distance) & (F.bit_count(differ) <= distance))
-    pairs = cut(met.select(F.greatest("doc_id", "leader.doc_id").alias("u"), F.least("doc_id", "leader.doc_id").alias("v")).distinct())
-    needed = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    sketches = cut(table.select("doc_id", "sketch").join(needed, "doc_id", "left_semi"))  # those of all documents move once
-    both = pairs.join(sketches.select(F.col("doc_id").alias("u"), F.col("sketch").alias("a")), "u").join(sketches.select(F.col("doc_id").alias("v"), F.col("sketch").alias("b")), "v")
+    met = filed.join(leaders, "band").filter(F.col("same") != F.col("leader.same")).filter(_ring_passes(differ, distance) & (F.bit_count(differ) <= distance))
+    pairs = met.select(F.greatest("same", "leader.same").alias("u"), F.least("same", "leader.same").alias("v")).distinct()
+    both = pairs.join(sets.select(F.col("same").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("same").alias("v"), F.col("hashes").alias("b")), "v")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            alike = [sketch_similarity(a, b) >= similarity for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
+            alike = [sketch_similarity(_sketch(a), _sketch(b)) >= similarity for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
             yield batch.select(["u", "v"]).filter(pa.array(alike, pa.bool_()))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    roots = connected_components(map_arrow(both.select("u", "v", "a", "b"), verify, f"u {kind}, v {kind}"))
-    return table.select("doc_id", "same").join(lows, "same").join(roots, F.col("low") == F.col("node"), "left").select("doc_id", F.coalesce("root", "low").alias("component_id"))
+    near = connected_components(map_arrow(both.select("u", "v", "a", "b"), verify, "u binary, v binary"))
+    rooted = cut(classes.join(near, F.col("same") == F.col("node"), "left").select("same", "low", "size", "bands", F.coalesce("root", "same").alias("root")))
+    members = rooted.select("same", "root", "size", "bands", F.posexplode("bands").alias("place", "band"))
+    n_blocks = F.greatest(F.ceil(F.count("*") / _BLOCK_DOCS), F.ceil(F.sum("size") / _BLOCK_SHINGLES))
+    undecided = members.groupBy("place", "band").agg(F.min("root").alias("a"), F.max("root").alias("b"), n_blocks.alias("n")).filter("a < b").select("place", "band", "n")
+    block = F.pmod(F.xxhash64("same"), F.col("n"))
+    dealt = members.join(undecided, ["place", "band"]).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    cells = dealt.select("place", "band", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "same", "root", "bands").join(sets, "same").drop("same")
+    cells = cells.repartition("place", "band", "one", "two").sortWithinPartitions("place", "band", "one", "two")
+    last = connected_components(map_arrow(cells, _compare(similarity), "u binary, v binary")).withColumnRenamed("root", "top")
+    named = rooted.join(last, F.col("root") == F.col("node"), "left").select("same", "low", F.coalesce("top", "root").alias("root"))
+    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = named.join(lows, "root").select("same", "component_id")
+    return table.select("doc_id", "same").join(named, "same").select("doc_id", "component_id")
