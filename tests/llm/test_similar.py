@@ -55,3 +55,15 @@ def test_shared_boilerplate(spark, blocks):
         texts[rng.getrandbits(40)] = variant(rng, words, 2)
     found, expected = grouped(spark, texts)
     assert found == expected and len(set(expected.values())) == 120
+
+
+def test_long_documents_near_the_threshold(spark):
+    """Over 512 shingles, similarity 0.79 to 0.81: decided on the whole sets."""
+    rng = random.Random(8)
+    texts = {}
+    for i in range(60):
+        words = [f"l{i}x{k}" for k in range(2004)]
+        texts[10 * i] = " ".join(words)
+        texts[10 * i + 1] = variant(rng, words, 42 + i % 6)  # 2000 shingles, 5 lost for each edit
+    found, expected = grouped(spark, texts)
+    assert found == expected and 60 < len(set(expected.values())) < 120
