@@ -137,6 +137,11 @@ def _band_seeds(bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 63, (bands * rows,), dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, (bands * rows,), dtype=np.uint64)
 
 
+def distinct_hashes(text: str | None, words: int = 5) -> np.ndarray:
+    """The set of a text's shingle hashes, in order."""
+    return np.unique(shingle_hashes(text, words).astype("<u8"))
+
+
 def _signatures(words: int, bands: int, rows: int):
     times, plus = _band_seeds(bands, rows)
 
@@ -144,10 +149,9 @@ def _signatures(words: int, bands: int, rows: int):
         for batch in slabs(batches):
             fps, same, keys, sizes = [], [], [], []
             for text in batch.column("text").to_pylist():
-                h = shingle_hashes(text, words)
-                own = np.unique(h.astype("<u8"))
-                fps.append(fingerprint(h))
-                same.append(xxhash.xxh3_128_digest(h.tobytes()))
+                own = distinct_hashes(text, words)
+                fps.append(fingerprint(own.astype(">u8")))
+                same.append(xxhash.xxh3_128_digest(own.tobytes()))
                 low = np.array([(own * t + p).min() for t, p in zip(times, plus, strict=True)], dtype=np.uint64).reshape(bands, rows) if len(own) else None
                 keys.append([] if low is None else [xxhash.xxh64_intdigest(low[b].tobytes(), b) - (1 << 63) for b in range(bands)])
                 sizes.append(len(own))
@@ -162,9 +166,8 @@ def _signatures(words: int, bands: int, rows: int):
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slabs(batches):
-            lists = [shingle_hashes(t, words) for t in batch.column("text").to_pylist()]
-            sets = [np.unique(h.astype("<u8")).tobytes() for h in lists]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in lists], pa.binary()), pa.array(sets, pa.binary())], ["same", "hashes"])
+            sets = [distinct_hashes(t, words).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["same", "hashes"])
 
     return run
 
@@ -251,10 +254,10 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, dis
 
     Documents whose sets of shingles have a Jaccard similarity of `similarity` or more are linked. Pairs are proposed by
     bands of minima of the shingle hashes (one of 12 bands of 3 agrees for 0.9998 of the pairs at 0.8), and every pair
-    is decided on the two whole sets. SimHash fingerprints only give the order: first each
+    is decided on the two whole sets. SimHash fingerprints of the distinct shingles only give the order: first each
     document meets the smallest and one more document of its bands, if the pigeonring filter and `distance` let them
     pass; then all pairs of a band that are not connected by those links are compared, in blocks, whatever their
-    fingerprints. Texts with the same shingles are one class from the start. A null, an empty text and one
+    fingerprints. Texts with the same set of shingles are one class from the start. A null, an empty text and one
     without words are alike. doc_id is taken to be a key: rows that repeat one share its result.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -57,6 +57,20 @@ def test_shared_boilerplate(spark, blocks):
     assert found == expected and len(set(expected.values())) == 120
 
 
+def test_repeated_lines(spark):
+    """Equal sets are copies, however often one of them repeats a line; so are alike sets whatever their fingerprints."""
+    rng = random.Random(7)
+    texts = {}
+    for i in range(30):
+        words = [f"r{i}x{k}" for k in range(200)]
+        line = words[50:60] * 2  # the repeats add the shingles across their border, at most 10
+        texts[10 * i] = " ".join([*words, *line])
+        texts[10 * i + 1] = " ".join([*words, *line * 20])
+        texts[10 * i + 2] = variant(rng, words, 2)
+    found, expected = grouped(spark, texts)
+    assert found == expected and set(expected.values()) == {10 * i for i in range(30)}
+
+
 def test_long_documents_near_the_threshold(spark):
     """Over 512 shingles, similarity 0.79 to 0.81: decided on the whole sets."""
     rng = random.Random(8)
