@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from .common import map_arrow, slabs
 
 DATE = "1970-01-01T00:00:00Z"
-_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_HIDDEN = re.compile(r"<(/?)(template|noscript|svg)(?=[\s/>])[^>]*>", re.I)
+_HEAD_TITLE = re.compile(r"<title(?=[\s/>])[^>]*>(?:(?!<title[\s/>]).)*?(?:</title\s*>|(?=</head\b|<body\b))", re.S | re.I)
 _BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
 _SPACE, _LINES = re.compile(r"[^\S\n]+"), re.compile(r" ?\n[ \n]*")
@@ -30,9 +32,35 @@ _LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))
 _LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
 
 
+def _without_hidden(page: str) -> str:
+    """Leaves out closed template, noscript and svg elements; one that is never closed loses only its tag."""
+    if not _HIDDEN.search(page):
+        return page
+    opened: dict[str, list[int]] = {"template": [], "noscript": [], "svg": []}
+    spans = []
+    for m in _HIDDEN.finditer(page):
+        starts = opened[m[2].lower()]
+        if not m[1]:
+            if m[2].lower() != "svg" or not m[0].endswith("/>"):
+                starts.append(m.start())
+        elif starts:
+            spans.append((starts.pop(), m.end()))
+    kept, at = [], 0
+    for start, end in sorted(spans):
+        if start >= at:
+            kept.append(page[at:start])
+        at = max(at, end)
+    return " ".join([*kept, page[at:]])
+
+
 def plain_text(page: str) -> str:
-    """The text of an HTML page: a line for each block, without scripts, styles, comments and tags."""
-    text = _TAG.sub("", _BREAK.sub("\n", _DROPPED.sub(" ", _SPACE.sub(" ", page.replace("\r", "\n").replace("\n", " ")))))
+    """The text of an HTML page: a line for each block, without scripts, styles, comments, titles and tags.
+
+    Only a script, a style and a comment run to the end of the page if they are not closed. Nothing but its title is
+    text of a head, so a head need not be closed.
+    """
+    text = _without_hidden(_DROPPED.sub(" ", _SPACE.sub(" ", page.replace("\r", "\n").replace("\n", " "))))
+    text = _TAG.sub("", _BREAK.sub("\n", _HEAD_TITLE.sub(" ", text)))
     return _LINES.sub("\n", _SPACE.sub(" ", html.unescape(text))).strip()
 
 
