@@ -382,9 +382,9 @@ class Engine:
         return self.spark.createDataFrame(rows, "setting string, value string")
 
 
-def render(df: DataFrame, limit: int = 1000) -> str:
-    """A result as a grid of text, at most `limit` rows of it, with the number of rows shown."""
-    rows = [["NULL" if v is None else str(v) for v in r] for r in df.limit(limit).collect()]
+def render(df: DataFrame) -> str:
+    """A result as a grid of text, with its number of rows; they are fetched one partition at a time."""
+    rows = [["NULL" if v is None else str(v) for v in r] for r in df.toLocalIterator()]
     widths = [max(10, *(len(x) for x in column)) for column in zip(df.columns, *rows, strict=True)] if rows else [max(10, len(c)) for c in df.columns]
     rule = "+" + "+".join("-" * (w + 2) for w in widths) + "+"
     line = lambda cells: "|" + "|".join(f" {c:<{w}} " for c, w in zip(cells, widths, strict=True)) + "|"
