@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import encoder
-from .common import cut, map_arrow, slabs
+from .bpe import coding_slabs, encoder
+from .common import cut, map_arrow
 
 WINDOW = 2048
 
@@ -107,7 +107,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, wi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end = encoder(path), end_id.to_bytes(4, "little")
-        for batch in slabs(batches):
+        for batch in coding_slabs(batches):
             of, start, length, crc, tokens, held = [], [], [], [], [], []
             for i, ids in enumerate(own.encode_batch([t or "" for t in batch.column("text").to_pylist()])):
                 ids += end
@@ -123,7 +123,6 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, wi
                         held.append(piece)
             columns = [batch.column("doc_id").take(pa.array(of, pa.int64())), *(pa.array(c, pa.int64()) for c in (start, length, crc, tokens))]
             yield pa.RecordBatch.from_arrays([*columns, *[pa.array(held, pa.binary())] * with_ids], names)
-        own.forget()
 
     return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
 
