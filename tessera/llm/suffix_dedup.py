@@ -35,9 +35,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slabs, tidied
+from .common import hash_sample, map_arrow, slabs, tidied
 
-_CHUNK = 1 << 19
+_CHUNK = 1 << 16
 _GRAM = 24
 _U = np.uint64
 #: Fixed, arbitrary odd multipliers of the rolling hash, one for each doubling, and of the final mix.
@@ -61,17 +61,17 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
     return _mix(sixteen[:-8] * _DOUBLE[4] + eight[16:])
 
 
+_PLACE = _U(20)
+
+
 def _leftmost_minima(h: np.ndarray, width: int) -> np.ndarray:
-    """For each window of `width` hashes, the place of its smallest, the leftmost if several are."""
-    low, at, span = h, np.arange(len(h), dtype=np.int32), 1
+    """For each window of `width` hashes (their upper 44 bits), the place of its smallest, the leftmost if several are."""
+    low, span = (h >> _PLACE << _PLACE) | np.arange(len(h), dtype=np.uint64), 1
     while span < width:
         step = min(span, width - span)
-        n = len(low) - step
-        right = low[step:] < low[:n]
-        at = np.where(right, at[step:], at[:n])
-        low = np.where(right, low[step:], low[:n])
+        low = np.minimum(low[step:], low[: len(low) - step])
         span += step
-    return at
+    return (low & _U((1 << 20) - 1)).view(np.int64)
 
 
 @dataclass
@@ -90,17 +90,16 @@ def _anchors(texts: list[bytes], length: int) -> Anchors:
     parts: list[tuple[np.ndarray, ...]] = []
 
     def add(joined: bytes, docs: list[int], starts: list[int], shift: int) -> None:
-        data = np.frombuffer(joined, dtype=np.uint8)
-        h = _gram_hashes(data)
+        h = _gram_hashes(np.frombuffer(joined, dtype=np.uint8))
         at = _leftmost_minima(h, length - _GRAM + 1)  # of the window from each place
-        sizes = np.diff([*starts, len(data)])
-        own = np.repeat(np.arange(len(docs)), sizes)[: len(at)]
-        whole = np.arange(len(at)) + length <= np.cumsum(sizes)[own]
+        whole = np.zeros(len(at), dtype=bool)
+        for a, b in zip(starts, [*starts[1:], len(joined)], strict=True):
+            whole[a : b - length + 1] = True
         j = np.flatnonzero(whole)
         if not len(j):
             return
-        own, at = own[j], at[j]
-        head = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (own[1:] != own[:-1])]))
+        at = at[j]
+        head = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))  # windows of two documents have different places
         n = np.diff(np.concatenate([head, [len(j)]]))
         first, place = j[head], at[head]
         end = first + n - 1 + length - _GRAM
@@ -108,8 +107,9 @@ def _anchors(texts: list[bytes], length: int) -> Anchors:
         for skip, m in ((_GRAM, _DOUBLE[1]), (2 * _GRAM, _DOUBLE[2])):
             context = _mix(context + h[np.minimum(first + skip, end)]) * m
         context = _mix(context + h[end] + n.astype(np.uint64) * _DOUBLE[3] + (place - first).astype(np.uint64) * _DOUBLE[4])
-        which = own[head]
-        parts.append((np.array(docs)[which], first - np.array(starts)[which] + shift, n, (place - first).astype(np.int64), h[place], context))
+        which = np.searchsorted(starts, first, side="right") - 1
+        # mixed once more: the smallest hashes of windows are small, and ranges of hashes are to be alike
+        parts.append((np.array(docs)[which], first - np.array(starts)[which] + shift, n, place - first, _mix(h[place] * _DOUBLE[2]), context))
 
     held: list[bytes] = []
     docs: list[int] = []
@@ -167,7 +167,13 @@ class _Pairs:
 
 def _pairs(a: Anchors) -> _Pairs:
     gram = a.gram >> (_U(64) - _BITS)
-    order = np.lexsort((a.context, gram))
+    order = np.argsort(gram)
+    g = gram[order]
+    twin = np.zeros(len(g) + 1, dtype=bool)
+    twin[1:-1] = g[1:] == g[:-1]
+    several = np.flatnonzero(twin[1:] | twin[:-1])  # only equal grams need their contexts in order
+    some = order[several]
+    order[several] = some[np.lexsort((some, a.context[some], gram[some]))]
     g, c, d = gram[order], a.context[order], a.doc[order]
     of = np.zeros(len(g), dtype=np.int64)
     if not len(g):
@@ -427,12 +433,15 @@ def _lowest_windows(runs: list[tuple[list[bytes], list[int]]], lefts: list[np.nd
 # --- the rounds over the table ---------------------------------------------------------------------------------------
 
 
-def _texts(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The texts of a bucket in an order that does not depend on how its rows arrive, their ids, and that order."""
-    ids, z = table.column("doc_id").to_numpy(), table.column("z").to_pylist()
-    order = np.lexsort((np.array([xxhash.xxh64_intdigest(x) for x in z], dtype=np.uint64), ids)) if len(ids) else np.zeros(0, dtype=np.int64)
+def _texts(table: pa.Table) -> tuple[list[bytes], list[bytes], np.ndarray, np.ndarray]:
+    """The texts of a bucket in an order that does not depend on how its rows arrive, the same with nothing in place of
+    those without an id (they match nothing), their ids, and that order."""
+    known = table.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+    ids, z = table.column("doc_id").fill_null(0).to_numpy(), table.column("z").to_pylist()
+    order = np.lexsort((np.array([xxhash.xxh64_intdigest(x) for x in z], dtype=np.uint64), ids, ~known)) if len(ids) else np.zeros(0, dtype=np.int64)
     un = zstandard.ZstdDecompressor()
-    return [un.decompress(z[i]) if z[i] else b"" for i in order.tolist()], ids[order], order
+    texts = [un.decompress(z[i]) if z[i] else b"" for i in order.tolist()]
+    return texts, [t if k else b"" for t, k in zip(texts, known[order].tolist(), strict=True)], ids[order], order
 
 
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,8 +452,15 @@ def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(z, pa.binary())], [*names, "z"])
 
 
-def _splitters(docs: DataFrame, length: int, ranges: int, sample_docs: int = 400) -> list[bytes]:
-    """Bounds that cut the order of suffixes into ranges, from a bounded sample of places. They only balance the work."""
+#: Grams of the sample for each range of suffixes, and how many a document of it gives at most.
+_RANGE_GRAMS, _DOC_GRAMS = 128, 16
+
+
+def _splitters(docs: DataFrame, length: int, ranges: int) -> list[bytes]:
+    """Bounds that cut the order of suffixes into ranges, from a sample of places that grows with their number alone.
+
+    They only balance the work.
+    """
     if ranges == 1:
         return []
 
@@ -453,33 +469,50 @@ def _splitters(docs: DataFrame, length: int, ranges: int, sample_docs: int = 400
             some = []
             for t in batch.column("text").to_pylist():
                 raw = t.encode("utf-8", "surrogatepass")
-                some += [raw[i : i + _GRAM] for i in range(0, max(1, len(raw) - length), max(1, len(raw) // 64))]
+                last = len(raw) - length
+                some += [raw[i : i + _GRAM] for i in range(last % (last // _DOC_GRAMS + 1) // 2, last + 1, last // _DOC_GRAMS + 1)]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary())], ["s"])
 
-    n = docs.count()
-    picked = docs.filter("text is not null").filter(F.pmod(F.xxhash64(F.lit("split"), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample_docs / max(1, n))))
-    found = sorted(bytes(r["s"]) for r in map_arrow(picked.select("text"), run, "s binary").collect())
+    long = docs.filter(F.octet_length("text") >= length)
+    picked = hash_sample(long, "doc_id", ranges * _RANGE_GRAMS // _DOC_GRAMS + 400)
+    found = sorted(bytes(r["s"]) for r in map_arrow(picked.select("text"), run, "s binary").collect())  # bounded by the number of ranges
     return sorted({found[i * len(found) // ranges] for i in range(1, ranges)}) if found else []
 
 
+def _sizes(total: int, bucket_bytes: int) -> tuple[int, int]:
+    """Buckets and ranges for so many bytes of text.
+
+    Up to 1024 buckets each has `bucket_bytes`. Beyond, buckets grow with the root of the total, up to eight times as large,
+    and there are fewer ranges than buckets (an eighth at least), so that the blocks between them grow less than with the square.
+    """
+    buckets = -(-total // bucket_bytes)
+    if buckets > 1024:
+        buckets = -(-total // int(bucket_bytes * min(8.0, (buckets / 1024) ** 0.5)))
+    return max(1, buckets), max(1, min(buckets, max(1024, buckets // 8)))
+
+
 def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 4 << 20, hot_contexts: int = 20_000, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, spans (start, end of each removed stretch, in bytes), kept (the bytes left) and the columns in
     `keep` for every row.
 
     A byte is removed if `length` bytes that cover it also start in a document with a smaller doc_id; all is judged on
-    the input. A null text is empty; texts shorter than `length` keep all. Rows that repeat a doc_id are one document
-    in this: none of them removes from the others. Columns of other names are not read; an empty table gives an empty
-    result. With `as_text` kept is a string, without the bytes of characters that were cut in two. `bucket_bytes` bounds the text that one task holds, but for a single longer document;
-    anchors with more than `hot_contexts` contexts are compared window by window from the start.
+    the input. A null text is empty; texts shorter than `length` keep all. A row without a doc_id is smaller than none
+    and has none smaller: it keeps all and removes from none. Rows that repeat a doc_id are one document in this: none
+    of them removes from the others. Columns of other names are not read, and those in `keep` may have any name but
+    that of an output; an empty table gives an empty result. With `as_text` kept is a string, without the bytes of
+    characters that were cut in two. `bucket_bytes` is about the text that one task holds (see _sizes), but for a
+    single longer document; anchors with more than `hot_contexts` contexts are compared window by window from the start.
     """
     if not _GRAM < length or 2 * length - _GRAM > 4 * _GRAM:  # four grams cover a context
         raise ValueError("length is out of range")
+    if clash := set(keep) & set(_KEPT.names):
+        raise ValueError(f"columns to keep have names of outputs: {sorted(clash)}")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-total // bucket_bytes))
-    bounds = _splitters(docs, length, buckets)
+    buckets, ranges = _sizes(total, bucket_bytes)
+    bounds = _splitters(docs, length, ranges)
     others = [F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]
     other_kinds = "".join(f", keep_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *others, F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"))
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *others, F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket"))
     # one exchange of the texts serves all three rounds: the plan reuses it, as it does those of the shares
     held = map_arrow(dealt, _compress, f"doc_id long{other_kinds}, bucket int, z binary").repartition(buckets, "bucket")
     kept_schema = _KEPT.set(3, pa.field("kept", pa.string())) if as_text else _KEPT
@@ -490,15 +523,14 @@ def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 4 << 2
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), arrow.types, strict=True)], schema=arrow) if found else arrow.empty_table()
 
     def hash_cuts(gram: np.ndarray) -> np.ndarray:
-        edges = np.array([(i << 48) // buckets for i in range(1, buckets)], dtype=np.uint64)
+        edges = np.array([(i << 48) // ranges for i in range(1, ranges)], dtype=np.uint64)
         return np.concatenate([[0], np.searchsorted(gram, edges), [len(gram)]])
 
     def range_cuts(suffix: list[bytes]) -> list[int]:
         return [0, *(bisect.bisect_left(suffix, b) for b in bounds), len(suffix)]
 
     def sample(table: pa.Table) -> pa.Table:
-        texts, _, _ = _texts(table)
-        p = _pairs(_anchors(texts, length))
+        p = _pairs(_anchors(_texts(table)[1], length))
         at, bucket, out = hash_cuts(p.gram), table.column("bucket")[0].as_py(), []
         for r, (a, b) in enumerate(zip(at, at[1:], strict=False)):
             if b > a:
@@ -526,7 +558,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 4 << 2
     def send(table: pa.Table, reply: pa.Table) -> pa.Table:
         if not table.num_rows:
             return rows([])
-        texts, ids, _ = _texts(table)
+        _, texts, ids, _ = _texts(table)
         _, _, run = run_of(texts, ids, reply)
         bucket, out = table.column("bucket")[0].as_py(), []
         at = range_cuts(run.suffix)
@@ -536,14 +568,14 @@ def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 4 << 2
         at = range_cuts(run.hot)
         for q, (a, b) in enumerate(zip(at, at[1:], strict=False)):
             if b > a:
-                out.append((buckets + q, bucket, b - a, front_code(run.hot[a:b]), _pack(run.hot_low[a:b].view(np.uint64), 8), None))
+                out.append((ranges + q, bucket, b - a, front_code(run.hot[a:b]), _pack(run.hot_low[a:b].view(np.uint64), 8), None))
         return rows(out)
 
     def merge(table: pa.Table) -> pa.Table:
         blocks = sorted(table.to_pylist(), key=lambda x: x["bucket"])
         lows = [_unpack(x["b"], x["n"], 8).view(np.int64) for x in blocks]
         runs = [front_decode(x["a"]) for x in blocks]
-        if blocks[0]["to"] < buckets:
+        if blocks[0]["to"] < ranges:
             found = _lowest_windows(runs, [_unpack(x["c"], x["n"], 2).astype(np.int64) for x in blocks], lows, length)
         else:
             found = _lowest(runs, lows)
@@ -552,8 +584,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 4 << 2
     def remove(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.Table.from_arrays([*kept_schema.empty_table().columns, *(table.column(f"keep_{i}") for i in range(len(keep)))], [*_KEPT.names, *(f"keep_{i}" for i in range(len(keep)))])
-        texts, ids, order = _texts(table)
-        anchors, p, run = run_of(texts, ids, replies.filter(pc.equal(replies.column("round"), 1)))
+        texts, known, ids, order = _texts(table)
+        anchors, p, run = run_of(known, ids, replies.filter(pc.equal(replies.column("round"), 1)))
         low = np.full(int(run.windows.sum()), np.iinfo(np.int64).max)
         owner, step = _expand(run.windows[run.pair])
         unit = run.base[run.pair[owner]] + step  # of the windows of the suffixes, in order
@@ -561,10 +593,10 @@ def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 4 << 2
         at, hot_at, hot_low = range_cuts(run.suffix), range_cuts(run.hot), run.hot_low.copy()
         for x in replies.filter(pc.equal(replies.column("round"), 2)).to_pylist():
             q, values = x["bucket"], _unpack(x["a"], x["n"], 8).view(np.int64)
-            if q < buckets:
+            if q < ranges:
                 low[unit[until[at[q]] : until[at[q + 1]]]] = values
             else:
-                hot_low[hot_at[q - buckets] : hot_at[q - buckets + 1]] = values
+                hot_low[hot_at[q - ranges] : hot_at[q - ranges + 1]] = values
         low[run.hot_unit] = hot_low[run.hot_of]
         left = np.flatnonzero(run.windows[p.of] > 0)
         owner, step = _expand(run.windows[p.of[left]])
@@ -590,13 +622,13 @@ def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 4 << 2
             kept.append(b"".join([*parts, text[last_end:]]) if parts else text)
         found = [[{"start": x, "end": y} for x, y in spans.get(i, ())] for i in range(len(texts))]
         rest = [table.column(f"keep_{i}").take(pa.array(order)) for i in range(len(keep))]
-        own = [pa.array(ids), pa.array([len(t) for t in texts], pa.int64()), pa.array(found, _KEPT.field("spans").type), pa.array([k.decode("utf-8", "ignore") for k in kept] if as_text else kept, kept_schema.field("kept").type)]
+        own = [table.column("doc_id").take(pa.array(order)).combine_chunks(), pa.array([len(t) for t in texts], pa.int64()), pa.array(found, _KEPT.field("spans").type), pa.array([k.decode("utf-8", "ignore") for k in kept] if as_text else kept, kept_schema.field("kept").type)]
         return pa.Table.from_arrays([*own, *rest], [*_KEPT.names, *(f"keep_{i}" for i in range(len(keep)))])
 
     shares = held.groupBy("bucket").applyInArrow(tidied(sample), schema)
-    states = shares.repartition(buckets, "to").groupBy("to").applyInArrow(tidied(judge), schema)
+    states = shares.repartition(ranges, "to").groupBy("to").applyInArrow(tidied(judge), schema)
     runs = held.groupBy("bucket").cogroup(states.groupBy("to")).applyInArrow(tidied(send), schema)
-    lows = runs.repartition(2 * buckets, "to").groupBy("to").applyInArrow(tidied(merge), schema)
+    lows = runs.repartition(2 * ranges, "to").groupBy("to").applyInArrow(tidied(merge), schema)
     replies = states.withColumn("round", F.lit(1)).union(lows.withColumn("round", F.lit(2)))
     done = held.groupBy("bucket").cogroup(replies.groupBy("to")).applyInArrow(tidied(remove), "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept " + ("string" if as_text else "binary") + other_kinds)
     return done.withColumnsRenamed({f"keep_{i}": c for i, c in enumerate(keep)})
