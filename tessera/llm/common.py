@@ -95,6 +95,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set; it must be a folder that the driver and all executors share")
         import tempfile
 
         found = tempfile.mkdtemp(prefix="checkpoints-")
@@ -109,12 +111,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _dealt_anew(df: DataFrame, key: str) -> DataFrame:
+    """The rows by a hash of the hash of their key. A join by the key then has an exchange of its own on this side, as
+    Spark's splitting of skewed partitions needs: it leaves alone what is joined straight to an aggregate."""
+    return df.repartition(F.xxhash64(F.xxhash64(key)))
+
+
+def star_round(e: DataFrame) -> DataFrame:
+    """A large-star and a small-star step over links u > v: two pre-aggregated minima, and two joins back to them."""
+    both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = _dealt_anew(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "u")
+    large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    down = _dealt_anew(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+    small = large.join(down, "u")
+    return small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+
+
 def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(u, v) links to (node, root): the smallest node that each linked node reaches, for all but those smallest ones.
 
-    Alternating large-star and small-star rounds. Every round is two pre-aggregated minima and two joins back to
-    them, so the star of a large component is never gathered in one task (the joins are split where they are
-    skewed); the edges never grow in number. Nodes without a link are not in the result.
+    Alternating large-star and small-star rounds. The star of a large component is never gathered in one task: its
+    minimum is aggregated before the shuffle, and the joins back are split where they are skewed. The edges never grow
+    in number. Null nodes and nodes without a link are not in the result; without links it is empty.
     """
     e = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
 
@@ -123,12 +141,7 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
 
     seen = state()
     for _ in range(rounds if seen[0] else 0):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u")
-        e = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        e = cut(star_round(e))
         if (now := state()) == seen:
             break
         seen = now
@@ -138,4 +151,4 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 
-__all__ = ["WORD", "StorageLevel", "checkpoint_dir", "connected_components", "cut", "hash_sample", "held_out", "map_arrow", "slabs", "table", "tidied", "tidy"]
+__all__ = ["WORD", "StorageLevel", "checkpoint_dir", "connected_components", "cut", "hash_sample", "held_out", "map_arrow", "slabs", "star_round", "table", "tidied", "tidy"]
