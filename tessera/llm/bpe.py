@@ -285,7 +285,8 @@ class Encoder:
         if not words:
             return np.zeros(0, dtype=np.int64)
         coded = pa.array(words, pa.large_string()).dictionary_encode()
-        return self.memo.sizes[self._rows(_strings(coded.dictionary))[coded.indices.to_numpy()]]
+        rows = self._rows(_strings(coded.dictionary))  # may put another memo in place
+        return self.memo.sizes[rows[coded.indices.to_numpy()]]
 
     def _split(self, pieces: list[str]) -> tuple[list[str], np.ndarray]:
         """The words of pieces that a space leads, and how many each piece has."""
@@ -320,7 +321,8 @@ class Encoder:
         n = np.concatenate([*counts, np.array([len(x) for x in own], dtype=np.int64)])
         if words:
             coded = pa.array(words, pa.large_string()).dictionary_encode()
-            ids, sizes = self.memo.take(self._rows(_strings(coded.dictionary))[coded.indices.to_numpy()])
+            rows = self._rows(_strings(coded.dictionary))  # may put another memo in place
+            ids, sizes = self.memo.take(rows[coded.indices.to_numpy()])
         else:
             ids, sizes = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
         ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(n)]

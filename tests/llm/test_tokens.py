@@ -39,6 +39,10 @@ def test_small_memo_changes_nothing(reference, monkeypatch):
     own = bpe.Encoder(bpe.Vocabulary(PATH))
     texts = [f"some words number {i} and again {i % 3}" for i in range(50)]
     for _ in range(2):
+        for k in range(0, 50, 7):
+            some = texts[k : k + 9][::-1]
+            assert [array("I", x).tolist() for x in own.encode_batch(some)] == [ids_of(reference, t) for t in some]
+            assert sum(own.pre_tokens(some[0] + " new")[1]) == len(ids_of(reference, some[0] + " new"))
         assert [array("I", x).tolist() for x in own.encode_batch(texts)] == [ids_of(reference, t) for t in texts]
 
 
