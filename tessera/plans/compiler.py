@@ -82,11 +82,13 @@ class Expressions:
         return c.cast("boolean") if kind == "null" else c
 
     def _in(self, x: object, values: tuple) -> Column:
+        """One set test, however many values there are. A NULL among them makes a miss NULL, as with = and OR."""
         found = F.lit(False)
-        for v in values:
-            a, b = self._alike(x, v)
-            found = found | (a == b)
-        return found
+        known = [v for v in values if v.value is not None]
+        if known:
+            pairs = [self._alike(x, v) for v in known]
+            found = pairs[0][0].isin(*(v for _, v in pairs))
+        return found if len(known) == len(values) else found | F.lit(None).cast("boolean")
 
     def _alike(self, a: object, b: object) -> tuple[Column, Column]:
         """Both sides of a comparison. A number beside a string literal makes the literal a number; else kinds must agree."""

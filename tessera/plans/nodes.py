@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, is_dataclass
 
 
 @dataclass(frozen=True)
@@ -169,3 +169,14 @@ def text(e: object) -> str:
         case IsNull(x, negated):
             return f"({text(x)} IS {'NOT ' if negated else ''}NULL)"
     raise TypeError(f"no expression: {e!r}")
+
+
+def outline(tree: object, name: str = "", depth: int = 0) -> str:
+    """A tree with a line for each node and leaf, indented."""
+    head = "  " * depth + (f"{name}: " if name else "")
+    if is_dataclass(tree):
+        own = [(f.name, getattr(tree, f.name)) for f in fields(tree)]
+        return "\n".join([head + type(tree).__name__, *(outline(v, k, depth + 1) for k, v in own if v not in (None, (), False))])
+    if isinstance(tree, tuple):
+        return "\n".join([head.rstrip(), *(outline(v, "", depth + 1) for v in tree)])
+    return f"{head}{tree!r}"

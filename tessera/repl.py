@@ -26,15 +26,35 @@ def answer(engine: Engine, line: str) -> str:
         return f"error: {e}"
     except Exception as e:  # what Spark raises at run time ends the statement, not the shell
         return f"error: {str(e).splitlines()[0]}"
-    return render(found.df) if found.df is not None else found.message
+    return "\n".join(x for x in (render(found.df) if found.df is not None else "", found.message) if x)
+
+
+def size(text: str) -> int:
+    """Bytes, as 4096, 64K, 32M or 1G."""
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(text[-1:].lower())
+    return int(text[:-1]) * unit if unit else int(text)
+
+
+def session(block_size: int | None, memory: int | None) -> SparkSession:
+    """The session of the shell. Memory is that of the driver and of each executor; a block is a row group of a file."""
+    builder = SparkSession.builder.appName("tessera")
+    if memory:
+        for who in ("driver", "executor"):
+            builder = builder.config(f"spark.{who}.memory", f"{max(512, memory >> 20)}m")
+    if block_size:
+        builder = builder.config("spark.hadoop.parquet.block.size", str(block_size))
+    return builder.getOrCreate()
 
 
 def main() -> None:
     args = argparse.ArgumentParser()
     args.add_argument("root")
     args.add_argument("--demo", action="store_true")
+    args.add_argument("--block-size", type=size, help="bytes of a row group")
+    args.add_argument("--memory", type=size, help="bytes of memory of the driver and of each executor; 512M at least")
+    args.add_argument("--disk", type=size, help="bytes that the tables may use")
     given = args.parse_args()
-    engine = Engine(SparkSession.builder.appName("tessera").getOrCreate(), given.root)
+    engine = Engine(session(given.block_size, given.memory), given.root, max_bytes=given.disk)
     if given.demo and not engine.state.tables:
         for line in DEMO:
             engine.execute(line)
@@ -42,11 +62,12 @@ def main() -> None:
         try:
             line = input("> ").strip()
         except EOFError:
-            return
+            break
         if line.lower().rstrip(";") in ("exit", "quit"):
-            return
+            break
         if line:
             print(answer(engine, line))
+    engine.close()
 
 
 if __name__ == "__main__":

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .errors import EngineError, NameProblem, SyntaxProblem, TransactionProblem, TypeProblem
@@ -23,9 +23,9 @@ from .sources.catalog import JOURNAL, Index, Segment, State, Store, Table
 from .types import ColumnDef, kind_of
 
 HELP = """SELECT ... | INSERT INTO t VALUES (...) | UPDATE t SET c = e [WHERE p] | DELETE FROM t [WHERE p]
-CREATE TABLE t (c TYPE(n), ...) | CREATE INDEX i ON t(c)
+CREATE TABLE t (c TYPE(n), ...) | CREATE TABLE t c:type:n,... | CREATE INDEX i ON t(c)
 BEGIN | COMMIT | ROLLBACK
-TABLES | INDEXES | CATALOG | DUMP t [limit [offset]] | VACUUM [t] | PLANS [n] | LOGS [n] | MEM | EXPLAIN select | HELP | EXIT"""
+TABLES | INDEXES | CATALOG | DUMP t [limit [offset]] | VACUUM [t|all] | PLANS [n] | LOGS [n] | MEM | EXPLAIN select | HELP | EXIT"""
 
 
 @dataclass
@@ -42,17 +42,20 @@ class Result:
 
 class Engine:
     """Opens what is under `root`. After a writer has died in a transaction, `recover` takes its lock away; what it
-    had not committed is in no version, and VACUUM deletes it."""
+    had not committed is in no version, and VACUUM deletes it. A writer that lives after all can't commit any more.
+
+    The plans of the latest queries are kept in the store with each commit and by `close`."""
 
     def __init__(self, spark: SparkSession, root: str, max_bytes: int | None = None, plan_history: int = 128, recover: bool = False):
         self.spark, self.store, self.max_bytes = spark, Store(spark, root), max_bytes
         if recover:
-            self.store.unlock()
+            self.store.take_over()
         self.committed: State = self.store.load()
         self.staged: State | None = None
         self.new: list[Segment] = []  # written by the open transaction
         self.external: dict[str, DataFrame] = {}
-        self.plans: deque[str] = deque(maxlen=plan_history)
+        self.plans: deque[str] = deque(self.store.read_history(), maxlen=plan_history)
+        self.kept_plans = list(self.plans)
 
     # --- tables
 
@@ -105,8 +108,20 @@ class Engine:
         return df
 
     def explain(self, text: str) -> str:
-        df = self.sql(text)
-        return df._jdf.queryExecution().toString()
+        """The syntax tree of a query, and Spark's parsed, analyzed, optimized and physical plans."""
+        tree = parse(text)
+        return f"== Syntax Tree ==\n{N.outline(tree)}\n\n{self.sql(text)._jdf.queryExecution()}"
+
+    def close(self) -> None:
+        """Gives up an open transaction and keeps the plans for the next session."""
+        if self.staged is not None:
+            self.rollback()
+        self._keep_plans()
+
+    def _keep_plans(self) -> None:
+        if list(self.plans) != self.kept_plans:
+            self.kept_plans = list(self.plans)
+            self.store.write_history(self.kept_plans)
 
     def _plan(self, what: str, df: DataFrame) -> None:
         plan = df._jdf.queryExecution()
@@ -123,13 +138,19 @@ class Engine:
         self.staged.transactions += 1
 
     def commit(self) -> None:
-        """Publishes all that the transaction did, at once."""
+        """Publishes all that the transaction did, at once. If the store refuses it, the transaction is rolled back."""
         if self.staged is None:
             raise TransactionProblem("no transaction is open")
         self.staged.journal = self.staged.journal[-JOURNAL:]
-        self.store.publish(self.staged)
+        try:
+            self.store.publish(self.staged)
+        except TransactionProblem:
+            self.rollback()
+            self.committed = self.store.load()
+            raise
         self.committed, self.staged, self.new = self.staged, None, []
         self.store.unlock()
+        self._keep_plans()
 
     def rollback(self) -> None:
         if self.staged is None:
@@ -180,6 +201,8 @@ class Engine:
         if kind == "double" and column.kind == "INT":
             stored = F.when(value == F.floor(value), stored).otherwise(F.raise_error(F.lit(f"{column.name} takes whole numbers")).cast("bigint"))
             stored = F.when(value.isNotNull(), stored)
+        if column.kind == "DOUBLE":  # computed digits are not what the bound is for; literals are checked as they are written
+            return stored
         long = F.octet_length(value.cast("string") if column.kind == "STRING" else stored.cast("string")) > column.length
         return F.when(long, F.raise_error(F.lit(f"a value of {column.name} is longer than {column.length}")).cast(column.field.dataType)).otherwise(stored)
 
@@ -216,18 +239,23 @@ class Engine:
             out.append(v)
         return tuple(out)
 
-    def _touched(self, table: Table, where: object | None) -> tuple[set[tuple[str, str]], int]:
+    def _touched(self, table: Table, where: object) -> tuple[set[tuple[str, str]], int]:
         """The files with rows that match, and how many rows do: the matching is left to the executors."""
         df = self.store.read(table)
         if not table.segments:
             return set(), 0
         r = R.scan(df.select("*", F.col("_metadata.file_path").alias("__file")), table.name)
-        matched = r if where is None else R.filtered(r, Expressions(r).condition(where))
+        matched = R.filtered(r, Expressions(r).condition(where))
         counts = matched.df.groupBy(r.fields[-1].column.alias("f")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row per touched file
         return {tuple(unquote(c["f"]).rsplit("/", 2)[1:]) for c in counts}, sum(c["n"] for c in counts)
 
-    def _rewrite(self, table: Table, touched: set[tuple[str, str]], make: Callable[[R.Relation], DataFrame]) -> None:
-        """Puts the result of `make` over the touched files in their place."""
+    def _rewrite(self, table: Table, touched: set[tuple[str, str]] | None, make: Callable[[R.Relation], DataFrame]) -> None:
+        """Puts the result of `make` over the touched files (None: all, which need not be listed) in their place."""
+        if touched is None:
+            segment = self._write(table, make(R.scan(self.store.read(table), table.name)))
+            table.segments = [segment] if segment.rows else []
+            table.version += 1
+            return
         paths = [f"{self.store.files.root}/{s.path}/{n}" for s in table.segments for n in self.store.names(s) if (s.path.rsplit("/", 1)[1], n) in touched]
         df = self.spark.read.schema(table.schema).parquet(*paths)
         segment = self._write(table, make(R.scan(df, table.name)))
@@ -241,7 +269,10 @@ class Engine:
         names = [empty.find(name).name for name, _ in s.assignments]
         if len(set(names)) != len(names):
             raise NameProblem("a column is set twice")
-        touched, n = self._touched(table, s.where)
+        if s.where is None:
+            touched, n = None, sum(x.rows for x in table.segments)
+        else:
+            touched, n = self._touched(table, s.where)
 
         def make(r: R.Relation) -> DataFrame:
             over = Expressions(r)
@@ -312,9 +343,13 @@ class Engine:
             n = self._number(words[1]) if len(words) == 2 else None
             return Result(message="\n".join(self.history(n) if head == "PLANS" else self.log(n)))
         if head == "DUMP" and 2 <= len(words) <= 4:
-            return Result(self.dump(words[1], *(self._number(w) for w in words[2:])))
+            limit, offset = [*(self._number(w) for w in words[2:]), 0, 0][:2]
+            total = self.count(words[1])
+            shown = max(0, min(total - offset, limit or total))
+            more = "\nResult truncated; more rows are available." if offset + shown < total else ""
+            return Result(self.dump(words[1], limit, offset), f"Total records: {total}{more}")
         if head == "VACUUM" and len(words) <= 2:
-            found = self.vacuum(words[1] if len(words) == 2 else None)
+            found = self.vacuum(words[1] if len(words) == 2 and words[1].lower() != "all" else None)
             return Result(message="\n".join(f"{t}: {', '.join(f'{k} {v}' for k, v in x.items())}" for t, x in found.items()))
         if head == "EXPLAIN" and len(words) > 1:
             return Result(message=self.explain(text[len("EXPLAIN") :]))
@@ -348,23 +383,54 @@ class Engine:
         table = self.state.table(self.state.index(name).table)
         return [f"{u.rsplit('/', 1)[1]} {n}" for s in table.segments for u, d, n in self.store.files.list(s.path) if not d and u.endswith(".parquet")]
 
+    def count(self, table: str) -> int:
+        """The records of a table: from the catalog, or counted if it is a registered one."""
+        return self.table(table).count() if table.lower() in self.external else sum(s.rows for s in self.state.table(table).segments)
+
     def dump(self, table: str, limit: int = 0, offset: int = 0) -> DataFrame:
-        """The rows of a table with the file and the place in it where each is; limit 0 is all."""
-        df = self.table(table)
-        if table.lower() not in self.external and self.state.table(table).segments:
-            df = df.select("*", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.row_index").alias("row_index"))
-        df = df.offset(offset) if offset else df
-        return df.limit(limit) if limit else df
+        """The rows of a table with their number, and the file and the place in it where each is; limit 0 is all.
 
-    def vacuum(self, table: str | None = None) -> dict[str, dict[str, int]]:
+        Rows of the engine's tables come in the order of their files and are numbered from offset + 1; those of
+        registered ones have no order and no number.
+        """
+        df = self.table(table)
+        if table.lower() in self.external:
+            df = df.offset(offset) if offset else df
+            return df.limit(limit) if limit else df
+        if not self.state.table(table).segments:
+            return df.select(F.lit(None).cast("long").alias("row_number"), "*", F.lit(None).cast("string").alias("file_name"), F.lit(None).cast("long").alias("row_index"))
+        df = df.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.row_index").alias("row_index"))
+        # rows before each file: one row per file, so the window is over few
+        files = df.groupBy("__path").agg(F.count(F.lit(1)).alias("__n"))
+        before = files.select("__path", (F.sum("__n").over(Window.orderBy("__path")) - F.col("__n")).alias("__before"))
+        df = df.join(before, "__path").withColumn("row_number", F.col("__before") + F.col("row_index") + 1)
+        df = df.filter(F.col("row_number") > offset) if offset else df
+        df = df.filter(F.col("row_number") <= offset + limit) if limit else df
+        columns = [c.name for c in self.state.table(table).columns]
+        return df.select("row_number", *columns, "file_name", "row_index").orderBy("row_number")
+
+    def vacuum(self, table: str | None = None, most_segments: int = 16) -> dict[str, dict[str, int]]:
+        """Deletes what no version names. A table of more than `most_segments` segments is written again as one."""
         if self.staged is not None:
             raise TransactionProblem("VACUUM is not possible in a transaction")
-        self.store.lock()
+        self.begin()
         try:
-            self.committed = self.store.load()
-            tables = [self.state.table(table)] if table else list(self.state.tables.values())
-            return {t.name: self.store.vacuum(t) for t in tables}
+            names = [self.state.table(table).name] if table else [t.name for t in self.state.tables.values()]
+            compacted = {}
+            for t in map(self.state.table, names):
+                compacted[t.name] = len(t.segments) if len(t.segments) > most_segments else 0
+                if compacted[t.name]:
+                    segment = self._write(t, self.store.read(t))
+                    t.segments, t.version = [segment], t.version + 1
+            if any(compacted.values()):
+                self.store.publish(self.staged)
+                self.committed = self.staged
+            found = {t.name: self.store.vacuum(t) | {"compacted": compacted[t.name]} for t in map(self.state.table, names)}
+            self.staged, self.new = None, []
+            return found
         finally:
+            if self.staged is not None:
+                self.rollback()
             self.store.unlock()
 
     def history(self, n: int | None = None) -> list[str]:

@@ -7,8 +7,14 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+from ..errors import EngineError
+
 
 def scratch(spark: SparkSession) -> str:
     """A new folder's name under spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise EngineError("spark.checkpoint.dir is not set; it must be a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="tessera-")
     return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
