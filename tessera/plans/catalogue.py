@@ -9,10 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.plan_api import PlanExecutor, PlanNode
-from ..session import Engine
-from ..sources.scratch import scratch
 from .compiler import Compiler
 from .parser import parse
+from .scenarios import NATION, SCENARIOS, copied, whole
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -127,6 +126,28 @@ _SQL: dict[str, Entry] = {
     "set_union_all": Entry("SELECT n_regionkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region"),
     "set_intersect": Entry("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier"),
     "set_except": Entry("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000"),
+    "sort_nulls": Entry(
+        "SELECT r.r_regionkey, n.n_nationkey FROM region r LEFT JOIN nation n ON n.n_nationkey < r.r_regionkey ORDER BY n.n_nationkey, r.r_regionkey LIMIT 3",
+        "SELECT r.r_regionkey, n.n_nationkey FROM region r LEFT JOIN nation n ON n.n_nationkey < r.r_regionkey ORDER BY n.n_nationkey NULLS FIRST, r.r_regionkey LIMIT 3",
+    ),
+    "sort_nulls_descending": Entry(
+        "SELECT r.r_regionkey, n.n_nationkey FROM region r LEFT JOIN nation n ON n.n_nationkey < r.r_regionkey ORDER BY n.n_nationkey DESC, r.r_regionkey LIMIT 4",
+        "SELECT r.r_regionkey, n.n_nationkey FROM region r LEFT JOIN nation n ON n.n_nationkey < r.r_regionkey ORDER BY n.n_nationkey DESC NULLS LAST, r.r_regionkey LIMIT 4",
+    ),
+    "agg_samples": Entry(
+        "SELECT l_returnflag, VAR_SAMP(l_quantity) AS vs, STDDEV_SAMP(l_quantity) AS ss, VAR_POP(l_quantity) AS vp, STDDEV_POP(l_quantity) AS sp, VAR(l_quantity) AS v FROM lineitem GROUP BY l_returnflag",
+        "SELECT l_returnflag, ROUND(VAR_SAMP(l_quantity), 4) AS vs, ROUND(STDDEV_SAMP(l_quantity), 4) AS ss, ROUND(VAR_POP(l_quantity), 4) AS vp, ROUND(STDDEV_POP(l_quantity), 4) AS sp, ROUND(VAR_POP(l_quantity), 4) AS v FROM lineitem GROUP BY l_returnflag",
+        {"vs": 4, "ss": 4, "vp": 4, "sp": 4, "v": 4},
+    ),
+    "default_names": Entry(
+        "SELECT COUNT(*), MAX(l_quantity), MIN(l_linenumber + 1) FROM lineitem",
+        'SELECT COUNT(*) AS "COUNT(*)", MAX(l_quantity) AS "MAX(l_quantity)", CAST(MIN(l_linenumber + 1) AS BIGINT) AS "MIN((l_linenumber + 1))" FROM lineitem',
+    ),
+    "default_names_computed": Entry("SELECT n_nationkey * 2, -n_regionkey FROM nation", 'SELECT CAST(n_nationkey * 2 AS BIGINT) AS "(n_nationkey * 2)", -n_regionkey AS "(-n_regionkey)" FROM nation'),
+    "comments": Entry("SELECT r_name -- the name\nFROM region -- all of them", "SELECT r_name FROM region"),
+    "names_any_case": Entry("select N.N_Name from NATION n where n.N_NATIONKEY >= 3", "SELECT n_name FROM nation WHERE n_nationkey >= 3"),
+    "filter_in_many": Entry(f"SELECT o_orderkey FROM orders WHERE o_orderkey IN ({', '.join(map(str, range(0, 9000, 3)))})"),
+    "filter_in_null": Entry("SELECT r.r_regionkey FROM region r LEFT JOIN nation n ON n.n_nationkey < r.r_regionkey WHERE n.n_nationkey NOT IN (1, 2) OR n.n_nationkey IN (NULL, 1)"),
     "events_by_type": Entry(
         "SELECT event_type, COUNT(*) AS cnt, AVG(value) AS a FROM events WHERE value >= 0 GROUP BY event_type", "SELECT event_type, COUNT(*) AS cnt, ROUND(AVG(value), 4) AS a FROM events WHERE value >= 0 GROUP BY event_type", {"a": 4}
     ),
@@ -170,6 +191,25 @@ _PLANS: dict[str, tuple[PlanNode, str]] = {
         PlanNode("AGGREGATE", {"group_by": "o_custkey", "aggregates": "COUNT:*:cnt; MAX(o_totalprice) AS top", "having": "cnt > 15"}, (PlanNode("FILTER", {"condition": "o_orderstatus <> 'P'"}, (_table("orders"),)),)),
         "SELECT o_custkey, COUNT(*) AS cnt, MAX(o_totalprice) AS top FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey HAVING COUNT(*) > 15",
     ),
+    "plan_aggs_all_forms": (
+        PlanNode(
+            "AGGREGATE",
+            {"group_by": "o_orderstatus", "agg.1": "COUNT(*) AS n", "agg.2": "MAX(o_totalprice)=top", "agg.3": "MIN:o_totalprice:least", "agg.4": "MAX o_custkey", "agg.5": "COUNT", "agg.6": "COUNT(o_custkey) buyers"},
+            (_table("orders"),),
+        ),
+        'SELECT o_orderstatus, COUNT(*) AS n, MAX(o_totalprice) AS top, MIN(o_totalprice) AS least, MAX(o_custkey) AS "MAX(o_custkey)", COUNT(*) AS "COUNT(*)", COUNT(o_custkey) AS buyers FROM orders GROUP BY o_orderstatus',
+    ),
+    "plan_set_operations": (
+        PlanNode(
+            "DIFFERENCE",
+            {},
+            (
+                PlanNode("UNION", {}, tuple(PlanNode("PROJECTION", {}, (_table(t),), (c,)) for t, c in (("nation", "n_nationkey"), ("customer", "c_nationkey")))),
+                PlanNode("INTERSECT", {}, tuple(PlanNode("PROJECTION", {}, (_table(t),), (c,)) for t, c in (("region", "r_regionkey"), ("supplier", "s_nationkey")))),
+            ),
+        ),
+        "(SELECT n_nationkey FROM nation UNION SELECT c_nationkey FROM customer) EXCEPT (SELECT r_regionkey FROM region INTERSECT SELECT s_nationkey FROM supplier)",
+    ),
     "plan_distinct_alias": (
         PlanNode("PROJECTION", {}, (PlanNode("ALIAS", {"alias": "c"}, (PlanNode("DISTINCT", {}, (PlanNode("PROJECTION", {}, (_table("customer"),), ("c_mktsegment", "c_nationkey")),)),)),), ("c.c_nationkey", "c.c_mktsegment")),
         "SELECT DISTINCT c_nationkey, c_mktsegment FROM customer",
@@ -177,32 +217,25 @@ _PLANS: dict[str, tuple[PlanNode, str]] = {
 }
 
 
-def _changed(name: str, columns: str, source: str, statement: str, ints: tuple[str, ...]) -> Query:
+def _changed(columns: str, source: str, statement: str) -> Query:
     """A statement that changes a copy of a table, made under the shared scratch folder; then the table."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        engine = Engine(spark, scratch(spark))
-        engine.register("source", resolver(spark, sf_dir)(source))
-        engine.execute(f"CREATE TABLE {name} ({columns})")
-        engine.execute(f"INSERT INTO {name} SELECT * FROM source")
+        engine = copied(spark, sf_dir, source, columns)
         engine.execute(statement)
-        df = engine.sql(f"SELECT * FROM {name}")
-        return df.select(*(F.col(c).cast("int").alias(c) if c in ints else F.col(c) for c in df.columns))
+        return whole(engine)
 
     return run
 
 
-_NATION = "n_nationkey INT(8), n_name STRING(64), n_regionkey INT(8)"
 _CHANGES: dict[str, tuple[Query, str]] = {
-    "dml_insert": (
-        _changed("t", "r_regionkey INT(8), r_name STRING(64)", "region", "INSERT INTO t VALUES (99, 'ATLANTIS')", ("r_regionkey",)),
-        "SELECT * FROM region UNION ALL SELECT CAST(99 AS INT) AS r_regionkey, 'ATLANTIS' AS r_name",
-    ),
+    "dml_insert": (_changed("r_regionkey INT(8), r_name STRING(64)", "region", "INSERT INTO t VALUES (99, 'ATLANTIS')"), "SELECT * FROM region UNION ALL SELECT CAST(99 AS INT) AS r_regionkey, 'ATLANTIS' AS r_name"),
     "dml_update": (
-        _changed("t", _NATION, "nation", "UPDATE t SET n_regionkey = n_regionkey + 1 WHERE n_regionkey = 2", ("n_nationkey", "n_regionkey")),
+        _changed(NATION, "nation", "UPDATE t SET n_regionkey = n_regionkey + 1 WHERE n_regionkey = 2"),
         "SELECT n_nationkey, n_name, CASE WHEN n_regionkey = 2 THEN n_regionkey + 1 ELSE n_regionkey END AS n_regionkey FROM nation",
     ),
-    "dml_delete": (_changed("t", _NATION, "nation", "DELETE FROM t WHERE n_regionkey = 2", ("n_nationkey", "n_regionkey")), "SELECT * FROM nation WHERE NOT (n_regionkey = 2)"),
+    "dml_delete": (_changed(NATION, "nation", "DELETE FROM t WHERE n_regionkey = 2"), "SELECT * FROM nation WHERE NOT (n_regionkey = 2)"),
+    **SCENARIOS,
 }
 
 
