@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import StorageLevel
@@ -80,6 +80,12 @@ def slabs(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int = S
             yield batch.slice(start)
 
 
+def no_clash(keep: Iterable[str], outputs: Iterable[str]) -> None:
+    """Columns to keep must not have the names of outputs (doc_id may be among them: it is kept anyway)."""
+    if found := (set(keep) & set(outputs)) - {"doc_id"}:
+        raise ValueError(f"columns to keep have names of outputs: {sorted(found)}")
+
+
 def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """About `rows` rows (all, if there are no more), chosen by a hash of the key: the same rows on every run."""
     n = df.count()
@@ -151,4 +157,4 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 
-__all__ = ["WORD", "StorageLevel", "checkpoint_dir", "connected_components", "cut", "hash_sample", "held_out", "map_arrow", "slabs", "star_round", "table", "tidied", "tidy"]
+__all__ = ["WORD", "StorageLevel", "checkpoint_dir", "connected_components", "cut", "hash_sample", "held_out", "map_arrow", "no_clash", "slabs", "star_round", "table", "tidied", "tidy"]

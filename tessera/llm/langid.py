@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, map_arrow, slabs
+from .common import hash_sample, map_arrow, no_clash, slabs
 
 LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
@@ -127,9 +127,11 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -
     """doc_id, the columns in `keep`, lang_pred and score for every row.
 
     A null text or one without a letter (the empty text too) is `und` with score 0; without a model every text is.
-    Ties go to the language that comes first in the alphabet. Repeated rows each get their own result; columns that
-    are not asked for, whatever their names, are not read.
+    Ties go to the language that comes first in the alphabet. A very long text is scored whole, in steps. Repeated rows
+    each get their own result; columns that are not asked for, whatever their names, are not read, and those in `keep`
+    may have any name but that of an output. An empty table gives an empty result.
     """
+    no_clash(keep, ("doc_id", "lang_pred", "score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = list(dict.fromkeys(["doc_id", "text", *keep]))
     out = [c for c in names if c != "text" or "text" in keep]

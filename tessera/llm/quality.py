@@ -21,7 +21,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import WORD, map_arrow, slabs
+from .common import WORD, map_arrow, no_clash, slabs
 
 SYMBOLS = "#*$%&|<>"
 _MARKED = re.compile("[#*$%&|<>]")
@@ -112,12 +112,14 @@ def repeated_lines(text: str) -> int:
 def measure(docs: DataFrame, bands: Bands = Bands(), min_words: int = 10, max_repeat_percent: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:  # noqa: B008
     """doc_id, the columns in `keep`, the base counts, base_failed, the compression figures, verdict and kept.
 
-    A null text and an empty one have no words: they fail the base rule. Repeated rows are judged one by one; columns
-    of other names are not read.
+    A null text and an empty one have no words: they fail the base rule. A very long text is judged whole, chunk by
+    chunk; a ratio on a limit is within it. Repeated rows are judged one by one; columns of other names are not read,
+    and those in `keep` may have any name but that of an output. An empty table gives an empty result.
     """
     names = list(dict.fromkeys(["doc_id", "text", *keep]))
     out = [c for c in names if c != "text" or "text" in keep]
     found = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "bad_chunk_share", "verdict"]
+    no_clash(keep, ("doc_id", *found))
     kinds = [*["long"] * 5, "boolean", "boolean", "double", "double", "string"]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in out), *(f"{a} {b}" for a, b in zip(found, kinds, strict=True))])
     types = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, map_arrow, slabs, tidied
+from .common import hash_sample, map_arrow, no_clash, slabs, tidied
 
 _CHUNK = 1 << 16
 _GRAM = 24
@@ -505,8 +505,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 4 << 2
     """
     if not _GRAM < length or 2 * length - _GRAM > 4 * _GRAM:  # four grams cover a context
         raise ValueError("length is out of range")
-    if clash := set(keep) & set(_KEPT.names):
-        raise ValueError(f"columns to keep have names of outputs: {sorted(clash)}")
+    keep = tuple(c for c in dict.fromkeys(keep) if c != "doc_id")
+    no_clash(keep, _KEPT.names)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, ranges = _sizes(total, bucket_bytes)
     bounds = _splitters(docs, length, ranges)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, map_arrow, slabs
+from .common import hash_sample, map_arrow, no_clash, slabs
 
 TERM = re.compile(r"[^\W_]+")
 PREFIXES = (4, 6)
@@ -135,7 +135,7 @@ def _fit(rows: list[list[int]], y: np.ndarray, terms: int, rank: int, epochs: in
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, bits: int = 18, max_rows: int = 20_000, max_terms: int = 8192, least_chi2: float = 15.0, rank: int = 4, epochs: int = 12, rate: float = 0.1, l2: float = 1e-5
+    docs: DataFrame, labels: DataFrame, bits: int = 18, max_rows: int = 20_000, max_terms: int = 8192, least_chi2: float = 15.0, max_common: int = 1024, rank: int = 4, epochs: int = 12, rate: float = 0.1, l2: float = 1e-5
 ) -> Model | None:
     """Fits on about `max_rows` labelled documents, chosen by a hash of doc_id; their texts are read whole.
 
@@ -155,8 +155,12 @@ def train(
     p = (n0 + n1) / (totals[0] + totals[1])
     worth = (p1 - p0) ** 2 / np.maximum(p * (1 - p), 1e-12)
     worth *= totals[0] * totals[1] / (totals[0] + totals[1])  # chi-square of the term against the label
-    best = np.lexsort((counts["term"].to_numpy(), -worth))[:max_terms]
+    terms = counts["term"].to_numpy()
+    best = np.lexsort((terms, -worth))[:max_terms]
     best = best[: max(64, int((worth[best] >= least_chi2).sum()))]
+    # terms that say nothing alone may do so in pairs: the most common of the rest fill what is left
+    rest = np.setdiff1d(np.flatnonzero(p <= 0.9), best)
+    best = np.concatenate([best, rest[np.lexsort((terms[rest], -(n0 + n1)[rest]))][: min(max_terms - len(best), max_common)]])
     place = {int(t): i for i, t in enumerate(counts["term"].to_numpy()[best])}
     table = map_arrow(rows, _reduce_rows(bits, place), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int, terms array<int>")
     found = sorted((r["doc_id"], r["toxic"], r["terms"]) for r in table.collect())
@@ -176,8 +180,11 @@ def score(texts: list[str | None], model: Model | None, known: _Terms | None = N
 def rate_documents(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = (), threshold: float = 0.3) -> DataFrame:
     """doc_id, the columns in `keep`, score and predicted (1 if score >= threshold) for every row, repeated rows too.
 
-    Only doc_id, text and `keep` are read, so columns of other names, whatever they are, change nothing.
+    A null or an empty text has the score of the bias alone, without a model 0; a very long one is read whole; a score
+    at the threshold is toxic. Only doc_id, text and `keep` are read, so columns of other names, whatever they are,
+    change nothing; those in `keep` may have any name but that of an output. An empty table gives an empty result.
     """
+    no_clash(keep, ("doc_id", "score", "predicted"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = list(dict.fromkeys(["doc_id", "text", *keep]))
     out = [c for c in names if c != "text" or "text" in keep]

@@ -92,6 +92,21 @@ def test_machine_learns_a_pair():
     assert v[0] @ v[1] > 1  # from the pair, not from the weights alone
 
 
+def test_a_pair_without_marginal_signals_is_learnt(spark):
+    """Neither term says anything alone: a text is toxic if it has both of them, or neither."""
+    rng = random.Random(6)
+
+    def text(a, b):
+        return " ".join(rng.sample([f"word{i}" for i in range(40)], 4) + ["fnord"] * a + ["grault"] * b)
+
+    drawn = [(rng.random() < 0.5, rng.random() < 0.5) for _ in range(3000)]
+    docs = spark.createDataFrame([(i, text(a, b)) for i, (a, b) in enumerate(drawn)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, int(a == b)) for i, (a, b) in enumerate(drawn)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels, epochs=40)
+    both, one, other = (toxicity.score([text(a, b) for _ in range(200)], model).mean() for a, b in ((1, 1), (1, 0), (0, 1)))
+    assert both > 0.9 and both > max(one, other) + 0.25
+
+
 def test_margins_are_those_of_the_definition():
     rng = np.random.default_rng(3)
     w, v, rows = rng.normal(size=6), rng.normal(size=(6, 3)), [[0, 2, 5], [], [1], [3, 4]]
