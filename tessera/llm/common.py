@@ -117,7 +117,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _dealt_anew(df: DataFrame, key: str) -> DataFrame:
+def dealt_anew(df: DataFrame, key: str) -> DataFrame:
     """The rows by a hash of the hash of their key. A join by the key then has an exchange of its own on this side, as
     Spark's splitting of skewed partitions needs: it leaves alone what is joined straight to an aggregate."""
     return df.repartition(F.xxhash64(F.xxhash64(key)))
@@ -126,9 +126,9 @@ def _dealt_anew(df: DataFrame, key: str) -> DataFrame:
 def star_round(e: DataFrame) -> DataFrame:
     """A large-star and a small-star step over links u > v: two pre-aggregated minima, and two joins back to them."""
     both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = _dealt_anew(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "u")
+    low = dealt_anew(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "u")
     large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-    down = _dealt_anew(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+    down = dealt_anew(large.groupBy("u").agg(F.min("v").alias("m")), "u")
     small = large.join(down, "u")
     return small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
@@ -157,4 +157,4 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 
-__all__ = ["WORD", "StorageLevel", "checkpoint_dir", "connected_components", "cut", "hash_sample", "held_out", "map_arrow", "no_clash", "slabs", "star_round", "table", "tidied", "tidy"]
+__all__ = ["WORD", "StorageLevel", "checkpoint_dir", "connected_components", "cut", "dealt_anew", "hash_sample", "held_out", "map_arrow", "no_clash", "slabs", "star_round", "table", "tidied", "tidy"]

@@ -3,7 +3,7 @@
 Unit vectors are within cosine t of each other if their distance is at most r = sqrt(2 - 2 t). Equal vectors are one
 class first. The top of the tree is shared by all tasks: centres from a bounded sample, every class with the nearest
 centre of its label; a cell's covering radius is the largest distance in it. Cells are dealt into blocks of bounded
-size by a hash, and two blocks meet in a task only if their cells' centres are no farther apart than both radii and r,
+size by a hash (larger ones for larger labels), and two blocks meet in a task only if their cells' centres are no farther apart than both radii and r,
 with those of their vectors that are near enough to the other cell. In a task a cover tree is built over either block
 (each level's nodes cover their points within half the radius of the level above) and the two are traversed together:
 node pairs farther apart than r and both covering radii are pruned, what is left of single points is compared exactly.
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, hash_sample, map_arrow, tidied
+from .common import connected_components, cut, dealt_anew, hash_sample, map_arrow, tidied
 
 _LEAF, _TRIES, _ROWS = 32, 64, 512
 _SLACK = 1e-7
@@ -182,11 +182,14 @@ def _meet(threshold: float):
     return run
 
 
-def _near_cells(table: dict, x: np.ndarray, labels: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each label among the rows: the rows, and their distances to the label's centres."""
-    for label in np.unique(labels).tolist():
-        rows = np.flatnonzero(labels == label)
-        yield label, rows, np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x[rows] @ table[label].T)))
+#: Rows and bytes of a block at most, and how many blocks a large label is cut into before they grow.
+_BLOCK_ROWS, _BLOCK_BYTES, _BLOCKS = 32_768, 32 << 20, 64
+
+
+def block_size(n: int, width: int, least: int) -> int:
+    """Rows of a block for a label of n vectors: a vector is sent to every block that it may meet, so the blocks of
+    large labels are larger, as far as the memory of a task allows."""
+    return max(1, min(max(least, min(n // _BLOCKS, _BLOCK_ROWS)), _BLOCK_BYTES // (8 * max(1, width))))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, max_centres: int = 256, block_rows: int = 4096) -> DataFrame:
@@ -194,16 +197,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, max_centres: in
 
     Null, empty and zero vectors, those with null or non-finite components, and rows without a label link with
     nothing; vectors of different length don't either. Equal vectors of a label are linked with each other. vec_id is
-    taken to be a key; a null one links with nothing. Columns of other names are not read; an empty table gives an
-    empty result. `max_centres` bounds the sample at the top of the tree, `block_rows` about what one task holds of
-    either side.
+    taken to be a key; a null one links with nothing. Rows that repeat a vec_id are vectors of their own. Columns of
+    other names are not read; an empty table gives an empty result. `max_centres` bounds the sample at the top of the
+    tree, `block_rows` is about what one task holds of either side, for all but large labels (see block_size).
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
     large = F.lit(float("inf"))
     fine = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < large)) & F.exists("embedding", lambda v: v != 0)
-    usable = rows.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull()).filter(F.coalesce(fine, F.lit(False)))
-    keyed = usable.withColumn("of", F.col("label") * 65536 + F.size("embedding"))  # compared within a label and a length
+    usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(fine, F.lit(False))
+    keyed = rows.filter(usable).withColumn("of", F.col("label") * 65536 + F.size("embedding"))  # compared within a label and a length
     classes = cut(keyed.groupBy("of", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")))
 
     centres: dict[int, list] = {}
@@ -228,17 +231,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, max_centres: in
     homed = cut(map_arrow(classes.select("vec_id", "of", "copies", "embedding"), home, f"{kind}, cell long, far double"))
     cells = homed.groupBy("of", "cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"))
     bounded = [c for c in cells.join(F.broadcast(spark.createDataFrame([(int(k),) for k in centres] or [(0,)], "of long")), "of").collect()]  # a row per centre at most
+    total: dict[int, int] = {}
+    for c in bounded:
+        total[c["of"]] = total.get(c["of"], 0) + c["n"]
     known: dict[int, dict[int, tuple[int, float]]] = {}
     for c in bounded:
-        known.setdefault(c["of"], {})[c["cell"]] = (max(1, -(-c["n"] // block_rows)), c["radius"])
+        rows_of = block_size(total[c["of"]], c["of"] % 65536, block_rows)
+        known.setdefault(c["of"], {})[c["cell"]] = (max(1, -(-c["n"] // rows_of)), c["radius"])
+    plan = spark.sparkContext.broadcast(known)
     # a label that is not in the sample is one cell without a centre; it is as rare as the sample is small, but has blocks too
-    other = {c["of"]: max(1, -(-c["n"] // block_rows)) for c in cells.filter(F.col("n") > block_rows).filter(~F.col("of").isin(list(centres) or [0])).collect()}
-    plan = spark.sparkContext.broadcast((known, other))
+    many = cells.filter(F.col("n") > block_rows).filter(~F.col("of").isin(list(centres) or [0])).select("of", F.ceil(F.col("n") / block_rows).alias("parts"))
+    homed = homed.join(dealt_anew(many, "of"), "of", "left").select("vec_id", "of", "copies", "embedding", "cell", "far", F.coalesce("parts", F.lit(1)).alias("parts"))
     r = float(np.sqrt(2.0 - 2.0 * threshold)) + _SLACK
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Every class once for each pair of blocks in which it may have a partner; a block is (cell, part)."""
-        known, other = plan.value
+        known = plan.value
         for batch in batches:
             of, cell, ids = (batch.column(c).to_numpy() for c in ("of", "cell", "vec_id"))
             mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
@@ -253,7 +261,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, max_centres: in
             for key in np.unique(of).tolist():
                 mine = np.flatnonzero(of == key)
                 if key not in known:
-                    parts = other.get(key, 1)
+                    parts = int(batch.column("parts")[int(mine[0])].as_py())
                     own = (mixed[mine] % np.uint64(parts)).astype(np.int64)
                     for p in range(parts):
                         add(mine, own, p)
@@ -289,5 +297,5 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, max_centres: in
         .select("of", "embedding", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "vec_id").alias("component_id"))
     )
     linked = keyed.join(named, ["of", "embedding"]).select("vec_id", "n_links", "component_id", "copies")
-    rest = rows.join(linked.select("vec_id"), "vec_id", "left_anti").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(1).cast("long").alias("copies"))
+    rest = rows.filter(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(1).cast("long").alias("copies"))
     return linked.union(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

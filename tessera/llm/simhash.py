@@ -5,7 +5,8 @@ at most 3 bits, cut into a ring of 8 segments of 8 bits, have a place on the rin
 differs in at most 3 l / 8 bits: the first two segments agree, and the five from there on differ in one bit at most.
 So two of the third to fifth segments agree as well: every fingerprint is filed under 8 places x 3 choices of 32 bits,
 and pairs that meet there must pass the chain's budgets before all 64 bits are compared. Only distinct fingerprints
-are compared; the documents of one fingerprint are a class.
+are compared; the documents of one fingerprint are a class. Where a key has very many fingerprints (a cloud of near
+copies) they are linked through points near them, which connects the same ones without comparing all pairs.
 """
 
 from __future__ import annotations
@@ -88,20 +89,58 @@ def _chain_passes(key: Column, differ: Column) -> Column:
     return within[0] & within[1] & within[2]
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Pairs u < v of distinct fingerprints (column fp) that differ in 3 bits at most."""
+#: Fingerprints under one key that are still compared pair by pair.
+CROWD = 1024
+
+
+def _free_masks() -> list[tuple[int, int, int]]:
+    """(place and choice of a key, mask, bits in it): all masks of at most two of the 32 bits that the key leaves free."""
+    out = []
+    for place in range(_BITS // _SEGMENT):
+        for choice, free in enumerate(((4, 5, 6, 7), (3, 5, 6, 7), (2, 5, 6, 7))):
+            bits = [1 << (_BITS - 1 - _SEGMENT * ((place + i) % 8) - j) for i in free for j in range(_SEGMENT)]
+            masks = [0, *bits, *(x | y for i, x in enumerate(bits) for y in bits[:i])]
+            out += [(place * 3 + choice, m - (1 << 64) if m >> 63 else m, m.bit_count()) for m in masks]
+    return out
+
+
+def _crowded_links(filed: DataFrame) -> DataFrame:
+    """Links among fingerprints of crowded keys that connect all that differ in 3 bits at most, and no others.
+
+    Two that do are within one bit and within two bits of some point. Each is filed under all points within two bits,
+    529 for a key, and all that are filed under a point are linked to the smallest that is within one bit of it, if
+    there is one; it is within three bits of them. A point has 529 at most, so the work is linear whatever the crowd.
+    """
+    masks = F.broadcast(filed.sparkSession.createDataFrame(_free_masks(), "slot long, mask long, radius int"))  # 24 x 529 rows
+    near = filed.join(masks, F.shiftright("key", 32) == F.col("slot")).select("key", "fp", "radius", F.col("fp").bitwiseXOR(F.col("mask")).alias("point"))
+    met = near.groupBy("key", "point").agg(F.min(F.when(F.col("radius") <= 1, F.col("fp"))).alias("hub"), F.collect_list("fp").alias("fps")).filter("hub is not null and size(fps) > 1")
+    return met.select("hub", F.explode("fps").alias("fp")).filter("hub <> fp").select(F.least("hub", "fp").alias("u"), F.greatest("hub", "fp").alias("v"))
+
+
+def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Pairs u < v of distinct fingerprints (column fp) that differ in 3 bits at most, perhaps several times.
+
+    All such pairs that share a key with at most `crowd` fingerprints; for those of larger keys enough of them that the
+    components are the same.
+    """
     filed = fps.select("fp").withColumn("key", F.explode(_chain_keys(F.col("fp"))))
+    crowded = cut(filed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("key"))
+    more = None
+    if crowded.count():
+        more = _crowded_links(filed.join(crowded, "key", "left_semi"))
+        filed = filed.join(crowded, "key", "left_anti")
     a, b = filed.select(F.col("fp").alias("u"), "key"), filed.select(F.col("fp").alias("v"), F.col("key").alias("other"))
     differ = F.col("u").bitwiseXOR(F.col("v"))
-    met = a.join(b, (F.col("key") == F.col("other")) & (F.col("u") < F.col("v")) & _chain_passes(F.col("key"), differ) & (F.bit_count(differ) <= _DISTANCE))
-    return met.select("u", "v").distinct()
+    met = a.join(b, (F.col("key") == F.col("other")) & (F.col("u") < F.col("v")) & _chain_passes(F.col("key"), differ) & (F.bit_count(differ) <= _DISTANCE)).select("u", "v")
+    return met if more is None else met.union(more)
 
 
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id (smallest doc_id reachable) for every row.
 
     A null, an empty text and one without words has fingerprint zero, linked like any other. Repeated rows are in one
-    component by their equal fingerprint; columns of other names are not read; an empty table gives an empty result.
+    component by their equal fingerprint, a null doc_id is smaller than none; a very long text is a slab of its own;
+    columns of other names are not read; an empty table gives an empty result.
     """
     table = cut(fingerprints(docs, words))
     classes = cut(table.groupBy("fp").agg(F.min("doc_id").alias("low")))

@@ -137,6 +137,17 @@ def test_embeddings(spark, bounds):
     assert found == slow_links(rows)
 
 
+def test_repeated_vector_ids(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, None, 0), (2, [1.0, 0.0], 0), (2, [0.0, 1.0], 0), (3, [0.0, 1.0], None)]
+    found = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in found) == [(1, 0, 1, True), (1, 1, 1, True), (2, 0, 2, True), (2, 1, 1, False), (3, 0, 3, True)]
+
+
+def test_blocks_grow_with_their_label():
+    assert [embeddings.block_size(n, 64, 4096) for n in (10, 10**5, 10**6, 10**8)] == [4096, 4096, 15625, 32768]
+    assert embeddings.block_size(10**8, 4096, 4096) == 1024
+
+
 def test_no_embeddings(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 
