@@ -195,8 +195,8 @@ def _signatures(words: int, bands: int, rows: int):
                 keys.append([] if low is None else [xxhash.xxh64_intdigest(low[b].tobytes(), b) - (1 << 63) for b in range(bands)])
                 sizes.append(len(own))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())],
-                ["doc_id", "fp", "same", "bands", "size"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())],
+                ["doc_id", "text_hash", "fp", "same", "bands", "size"],
             )
 
     return run
@@ -289,7 +289,7 @@ def _compare(similarity: float):
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 18, bands: int = 12, rows: int = 3) -> DataFrame:
-    """doc_id and component_id (smallest doc_id of its group) for every row.
+    """doc_id, text_hash (XXH64 of the text), component_id (smallest doc_id of its group) and kept for every row.
 
     Documents whose sets of shingles have a Jaccard similarity of `similarity` or more are linked. Pairs are proposed by
     bands of minima of the shingle hashes (one of 12 bands of 3 agrees for 0.9998 of the pairs at 0.8), and every pair
@@ -297,11 +297,15 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, dis
     document meets the smallest and one more document of its bands, if the pigeonring filter and `distance` let them
     pass; then all pairs of a band that are not connected by those links are compared, in blocks, whatever their
     fingerprints. Texts with the same set of shingles are one class from the start. A null, an empty text and one
-    without words are alike. doc_id is taken to be a key: rows that repeat one share its result.
+    without words are alike. `kept` holds for one row of each group (and rows that are wholly like it): the smallest by
+    (doc_id, text_hash), null ids last. A group without ids has a null component_id. A very long text is read whole and
+    is a block's only one; columns of other names are not read; an empty table gives an empty result.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    table = cut(map_arrow(docs.select("doc_id", "text"), _signatures(words, bands, rows), f"doc_id {kind}, fp long, same binary, bands array<bigint>, size long"))
-    classes = cut(table.groupBy("same").agg(F.min("doc_id").alias("low"), *(F.first(c).alias(c) for c in ("fp", "bands", "size"))))
+    given = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    table = cut(map_arrow(given, _signatures(words, bands, rows), f"doc_id {kind}, text_hash long, fp long, same binary, bands array<bigint>, size long"))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    classes = cut(table.groupBy("same").agg(F.min("doc_id").alias("low"), F.min(row).alias("first_row"), *(F.first(c).alias(c) for c in ("fp", "bands", "size"))))
     filed = classes.select("same", "low", "fp", F.explode("bands").alias("band"))
     leaders = cut(
         filed.groupBy("band")
@@ -324,7 +328,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, dis
             yield batch.select(["u", "v"]).filter(pa.array(alike, pa.bool_()))
 
     near = connected_components(map_arrow(both.select("u", "v", "a", "b"), verify, "u binary, v binary"))
-    rooted = cut(classes.join(near, F.col("same") == F.col("node"), "left").select("same", "low", "size", "bands", F.coalesce("root", "same").alias("root")))
+    rooted = cut(classes.join(near, F.col("same") == F.col("node"), "left").select("same", "low", "first_row", "size", "bands", F.coalesce("root", "same").alias("root")))
     members = rooted.select("same", "root", "size", "bands", F.posexplode("bands").alias("place", "band"))
     n_blocks = F.greatest(F.ceil(F.count("*") / _BLOCK_DOCS), F.ceil(F.sum("size") / _BLOCK_SHINGLES))
     undecided = members.groupBy("place", "band").agg(F.min("root").alias("a"), F.max("root").alias("b"), n_blocks.alias("n")).filter("a < b").select("place", "band", "n")
@@ -333,7 +337,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, dis
     cells = dealt.select("place", "band", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "same", "root", "bands").join(sets, "same").drop("same")
     cells = cells.repartition("place", "band", "one", "two").sortWithinPartitions("place", "band", "one", "two")
     last = connected_components(map_arrow(cells, _compare(similarity), "u binary, v binary")).withColumnRenamed("root", "top")
-    named = rooted.join(last, F.col("root") == F.col("node"), "left").select("same", "low", F.coalesce("top", "root").alias("root"))
-    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = named.join(lows, "root").select("same", "component_id")
-    return table.select("doc_id", "same").join(named, "same").select("doc_id", "component_id")
+    named = rooted.join(last, F.col("root") == F.col("node"), "left").select("same", "low", "first_row", F.coalesce("top", "root").alias("root"))
+    lows = named.groupBy("root").agg(F.min("low").alias("component_id"), F.min("first_row").alias("kept_row"))
+    named = named.join(lows, "root").select("same", "component_id", "kept_row")
+    return table.select("doc_id", "text_hash", "same").join(named, "same").select("doc_id", "text_hash", "component_id", (row == F.col("kept_row")).alias("kept"))
