@@ -29,8 +29,10 @@ import regex
 from .common import map_arrow, slabs
 
 LONG = 96
-#: What the memo holds at most between two calls (words; ids), the longest word that it keeps, and rows of a matrix.
-_MEMO, _MEMO_IDS, _MEMO_LENGTH, _ROWS = 400_000, 4_000_000, 40, 8192
+#: What the memo holds at most between two calls (words; ids), the longest word that it keeps, and rows of a matrix. Places
+#: of ids that are worked out at once.
+_MEMO, _MEMO_IDS, _MEMO_LENGTH, _ROWS = 300_000, 3_000_000, 40, 8192
+_STEP = 1 << 18
 #: Bits of a place within a word, and the rank of a pair that has none; a rank and a place are one 32-bit number.
 _PLACES, _NONE = 7, 1 << 22
 
@@ -94,10 +96,17 @@ def merge_long(parts: list[int], rank: dict[tuple[int, int], tuple[int, int]]) -
     return [p for p in parts if p >= 0]
 
 
-def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The places of many stretches, one after another."""
+def _gather(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Many stretches of x, one after another; a bounded number of places is worked out at a time."""
     ends = np.cumsum(sizes)
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=x.dtype)
+    a = at = 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, at + _STEP, side="right")))
+        end = int(ends[b - 1])
+        out[at:end] = x[np.repeat(starts[a:b] - (ends[a:b] - sizes[a:b] - at), sizes[a:b]) + np.arange(end - at)]
+        a, at = b, end
+    return out
 
 
 def _strings(found: pa.Array) -> list[str]:
@@ -198,7 +207,7 @@ class Merger:
         own, sizes, ids = (np.concatenate(c) for c in zip(*ended, strict=True))
         order = np.empty(len(own), dtype=np.int64)
         order[own] = np.arange(len(own))
-        return ids[_spread((np.cumsum(sizes) - sizes)[order], sizes[order])], sizes[order]
+        return _gather(ids, (np.cumsum(sizes) - sizes)[order], sizes[order]), sizes[order]
 
 
 class _Memo:
@@ -229,7 +238,7 @@ class _Memo:
     def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of rows, one after another, and how many each has."""
         sizes = self.sizes[rows]
-        return self.ids[_spread(self.starts[rows], sizes)], sizes
+        return _gather(self.ids, self.starts[rows], sizes), sizes
 
     def reduced(self, words: list[str]) -> _Memo:
         """A memo of those of the words that it has."""
@@ -267,7 +276,7 @@ class Encoder:
         ids, sizes = (np.concatenate(c) for c in zip(*parts, strict=True))
         back = np.empty(len(order), dtype=np.int64)
         back[order] = np.arange(len(order))
-        return ids[_spread((np.cumsum(sizes) - sizes)[back], sizes[back])], sizes[back]
+        return _gather(ids, (np.cumsum(sizes) - sizes)[back], sizes[back]), sizes[back]
 
     def _rows(self, words: list[str]) -> np.ndarray:
         """Rows of the memo for distinct words. A memo that is full gives up what these don't use."""
@@ -332,7 +341,7 @@ class Encoder:
         sizes = np.diff(ends, prepend=0)
         back = np.empty(len(order), dtype=np.int64)
         back[order] = np.arange(len(order))
-        return ids[_spread((ends - sizes)[back], sizes[back])], sizes[back]
+        return _gather(ids, (ends - sizes)[back], sizes[back]), sizes[back]
 
     def _cut(self, text: str) -> list[str]:
         """The pieces and special tokens of a text, marked as _pieces takes them."""
@@ -348,13 +357,14 @@ class Encoder:
     def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of whole texts, one after another (unsigned 32-bit), and where each text's begin, with the last end."""
         special = list(self.vocabulary.special)
+        kind = pa.string() if sum(map(len, texts)) < 1 << 28 else pa.large_string()  # of 2 GB at most
         plain = [not (any([t in text for t in special]) or _NOT_SINGLE.search(text)) for text in texts]
-        split = pc.split_pattern(pa.array(["\n" + t for t, p in zip(texts, plain, strict=True) if p], pa.large_string()), " ")
+        split = pc.split_pattern(pa.array(["\n" + t for t, p in zip(texts, plain, strict=True) if p], kind), " ")
         values, counts = [split.values], [np.diff(split.offsets.to_numpy())]
         order = None
         if not all(plain):
             others = [self._cut(t) for t, p in zip(texts, plain, strict=True) if not p]
-            values.append(pa.array([x for pieces in others for x in pieces], pa.large_string()))
+            values.append(pa.array([x for pieces in others for x in pieces], kind))
             counts.append(np.array([len(pieces) for pieces in others], dtype=np.int64))
             order = np.empty(len(texts), dtype=np.int64)
             order[np.concatenate([np.flatnonzero(plain), np.flatnonzero(~np.array(plain))])] = np.arange(len(texts))
@@ -363,10 +373,10 @@ class Encoder:
         ids, sizes = self._pieces(_strings(coded.dictionary)) if len(coded) else (np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64))
         starts, of, ends = np.cumsum(sizes) - sizes, coded.indices.to_numpy(), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
         if order is not None:
-            of = of[_spread(ends[order], np.diff(ends)[order])]
+            of = _gather(of, ends[order], np.diff(ends)[order])
             ends = np.concatenate([[0], np.cumsum(np.diff(ends)[order])])
         sizes = sizes[of]
-        return ids[_spread(starts[of], sizes)], np.concatenate([[0], np.cumsum(sizes)])[ends]
+        return _gather(ids, starts[of], sizes), np.concatenate([[0], np.cumsum(sizes)])[ends]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of whole texts, as little-endian unsigned 32-bit integers."""
@@ -404,7 +414,7 @@ def encoder(path: str) -> Encoder:
 
 def coding_slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Slabs for the encoder: the more text at once, the fewer distinct pieces there are for it."""
-    return slabs(batches, rows=16_384, chars=12_000_000)
+    return slabs(batches, rows=8192, chars=5_000_000)
 
 
 def encode_documents(docs, path: str):
