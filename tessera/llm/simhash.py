@@ -202,18 +202,34 @@ def _signatures(words: int, bands: int, rows: int):
     return run
 
 
+_KEPT_BYTES = 6
+
+
+def pack_set(hashes: np.ndarray) -> bytes:
+    """A set of hashes to be sent: the upper 48 bits of each, in order. Two sets of a thousand take a hash that they
+    don't share for a common one with a chance of 1 in 10^8."""
+    kept = np.unique(hashes.astype("<u8") >> np.uint64(64 - 8 * _KEPT_BYTES))
+    return kept.view(np.uint8).reshape(-1, 8)[:, :_KEPT_BYTES].tobytes()
+
+
+def unpack_set(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // _KEPT_BYTES, 8), dtype=np.uint8)
+    out[:, :_KEPT_BYTES] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, _KEPT_BYTES)
+    return out.reshape(-1).view("<u8")
+
+
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slabs(batches):
-            sets = [distinct_hashes(t, words).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["same", "hashes"])
+            sets = [distinct_hashes(t, words) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([pack_set(s) for s in sets], pa.binary())], ["same", "hashes"])
 
     return run
 
 
 def set_similarity(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two whole sets of shingle hashes."""
-    x, y = np.frombuffer(a, dtype="<u8"), np.frombuffer(b, dtype="<u8")
+    """Jaccard similarity of two whole sets of shingle hashes, as pack_set gives them."""
+    x, y = unpack_set(a), unpack_set(b)
     if not len(x) or not len(y):
         return float(len(x) == len(y))
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -229,9 +245,8 @@ def block_links(roots: list[bytes], blocks: list[int], bands: np.ndarray, place:
     component = np.array([of.setdefault(r, len(of)) for r in roots])
     if len(of) < 2:
         return []
-    hashes = [np.frombuffer(s, dtype="<u8") for s in sets]
-    sizes = np.array([len(h) for h in hashes])
-    found, ids, n = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    sizes = np.array([len(s) // _KEPT_BYTES for s in sets])
+    found, ids, n = np.unique(unpack_set(b"".join(sets)), return_inverse=True, return_counts=True)
     several = n[ids] > 1
     ends = np.concatenate([[0], np.cumsum(several)])[np.concatenate([[0], np.cumsum(sizes)])]
     ids, mark, block = ids[several], np.zeros(len(found), dtype=bool), np.array(blocks)
@@ -313,9 +328,13 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, dis
         .filter("n > 1")
         .select("band", F.explode(F.array(F.struct("first.same", "first.fp"), F.struct("other.same", "other.fp"))).alias("leader"))
     )
-    crowd = cut(filed.join(leaders.select("band").distinct(), "band", "left_semi").select("same", "low").distinct())
-    texts = docs.select("doc_id", "text").join(crowd.select("low").distinct(), F.col("doc_id").eqNullSafe(F.col("low")), "left_semi")
-    sets = cut(map_arrow(texts, _sets(words), "same binary, hashes binary").dropDuplicates(["same"]))
+    crowd = cut(filed.join(leaders.select("band").distinct(), "band", "left_semi").select("same").distinct())
+    speakers = classes.join(crowd, "same", "left_semi").select(F.col("first_row.doc_id").alias("speaker"), F.col("first_row.text_hash").alias("speaks")).distinct()
+    texts = given.join(speakers, F.col("doc_id").eqNullSafe(F.col("speaker")) & (F.col("text_hash").eqNullSafe(F.col("speaks"))), "left_semi").select("text")
+    sets = map_arrow(texts, _sets(words), "same binary, hashes binary")
+    if not table.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():  # else each class has one speaker
+        sets = sets.dropDuplicates(["same"])
+    sets = cut(sets)
 
     differ = F.col("fp").bitwiseXOR(F.col("leader.fp"))
     met = filed.join(leaders, "band").filter(F.col("same") != F.col("leader.same")).filter(_ring_passes(differ, distance) & (F.bit_count(differ) <= distance))
@@ -329,12 +348,14 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, dis
 
     near = connected_components(map_arrow(both.select("u", "v", "a", "b"), verify, "u binary, v binary"))
     rooted = cut(classes.join(near, F.col("same") == F.col("node"), "left").select("same", "low", "first_row", "size", "bands", F.coalesce("root", "same").alias("root")))
-    members = rooted.select("same", "root", "size", "bands", F.posexplode("bands").alias("place", "band"))
+    members = rooted.select("same", "root", "size", F.posexplode("bands").alias("place", "band"))
     n_blocks = F.greatest(F.ceil(F.count("*") / _BLOCK_DOCS), F.ceil(F.sum("size") / _BLOCK_SHINGLES))
     undecided = members.groupBy("place", "band").agg(F.min("root").alias("a"), F.max("root").alias("b"), n_blocks.alias("n")).filter("a < b").select("place", "band", "n")
     block = F.pmod(F.xxhash64("same"), F.col("n"))
-    dealt = members.join(undecided, ["place", "band"]).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    cells = dealt.select("place", "band", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "same", "root", "bands").join(sets, "same").drop("same")
+    dealt = members.drop("size").join(undecided, ["place", "band"]).withColumn("block", block)
+    told = sets.join(rooted.select("same", "bands"), "same").join(dealt, "same")
+    told = told.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    cells = told.select("place", "band", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "root", "bands", "hashes")
     cells = cells.repartition("place", "band", "one", "two").sortWithinPartitions("place", "band", "one", "two")
     last = connected_components(map_arrow(cells, _compare(similarity), "u binary, v binary")).withColumnRenamed("root", "top")
     named = rooted.join(last, F.col("root") == F.col("node"), "left").select("same", "low", "first_row", F.coalesce("top", "root").alias("root"))
