@@ -130,8 +130,10 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, wi
 def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, with_ids: bool = False, bucket_rows: int = 50_000) -> DataFrame:
     """The pieces of every document with sequence_id and offset; the used places of a sequence are gapless from 0.
 
-    A null or empty text is the end id alone. Repeated rows are packed one by one; columns of other names are not
-    read; an empty table gives an empty result. With `with_ids` each row holds its ids as well.
+    A null or empty text is the end id alone; a very long one is cut into windows like any other. Repeated rows are
+    packed one by one: rows that share a doc_id are told apart by their ids' checksum, and those alike in that too have
+    the same tokens, so it does not matter which is first. Columns of other names are not read; an empty table gives
+    an empty result. With `with_ids` each row holds its ids as well.
     """
     table = cut(pieces(docs, path, end_id, window, with_ids))
     buckets = max(1, -(-table.count() // bucket_rows))
@@ -142,7 +144,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, with
     totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `window` rows at most
     totals.pop(window, 0)
     plan = docs.sparkSession.sparkContext.broadcast(best_fit_decreasing(totals, window))
-    own = Window.partitionBy("bucket", "length").orderBy("doc_id", "start")
+    own = Window.partitionBy("bucket", "length").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
     ranked = dealt.withColumn("rank", F.row_number().over(own) - 1).join(before, ["bucket", "length"]).withColumn("rank", F.col("rank") + F.col("before"))
     out = table.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema)
