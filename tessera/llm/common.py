@@ -86,12 +86,15 @@ def no_clash(keep: Iterable[str], outputs: Iterable[str]) -> None:
         raise ValueError(f"columns to keep have names of outputs: {sorted(found)}")
 
 
-def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """About `rows` rows (all, if there are no more), chosen by a hash of the key: the same rows on every run."""
+def hash_sample(df: DataFrame, keys: tuple[str, ...], rows: int) -> DataFrame:
+    """About `rows` rows (all, if there are no more), chosen by a hash of the keys: the same rows on every run.
+
+    The keys should tell rows apart: those that are alike in all of them come together or not at all.
+    """
     n = df.count()
     if n <= rows:
         return df
-    return df.filter(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) < int((1 << 30) * rows / n))
+    return df.filter(F.pmod(F.xxhash64(F.lit("sample"), *keys), F.lit(1 << 30)) < int((1 << 30) * rows / n))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

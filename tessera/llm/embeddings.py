@@ -211,7 +211,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, max_centres: in
 
     centres: dict[int, list] = {}
     wanted = min(max_centres, 2 * max(1, -(-classes.count() // block_rows)))  # more cells than blocks would only send more
-    for row in hash_sample(classes.select("vec_id", "of", "embedding"), "vec_id", wanted).orderBy("vec_id").limit(2 * max_centres).collect():
+    for row in hash_sample(classes.select("vec_id", "of", "embedding"), ("vec_id",), wanted).orderBy("vec_id").limit(2 * max_centres).collect():
         centres.setdefault(row["of"], []).append(row["embedding"])
     shared = spark.sparkContext.broadcast({k: unit(np.array(v, dtype=np.float64)) for k, v in centres.items()})
     kind = "vec_id long, of long, copies long, embedding array<double>"

@@ -75,12 +75,12 @@ def _counter(bits: int, langs: list[str]):
 
 
 def train(docs: DataFrame, bits: int = 15, max_rows: int = 20_000, max_langs: int = 256, smoothing: float = 0.5) -> Model | None:
-    """Fits on whole texts of about `max_rows` of the given (text, lang, doc_id) rows, chosen by a hash of doc_id.
+    """Fits on whole texts of about `max_rows` of the given (text, lang, doc_id) rows, chosen by a hash of doc_id and text.
 
     Rows whose text or lang is null teach nothing; with no row left there is no model (None). More than `max_langs`
     languages are an error, as the matrix is broadcast.
     """
-    rows = hash_sample(docs.filter("text is not null and lang is not null").select("doc_id", "text", "lang"), "doc_id", max_rows)
+    rows = hash_sample(docs.filter("text is not null and lang is not null").select("doc_id", "text", "lang"), ("doc_id", "text"), max_rows)
     docs_of = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(max_langs + 1).collect()}
     if len(docs_of) > max_langs:
         raise ValueError(f"more than {max_langs} languages")

@@ -474,7 +474,7 @@ def _splitters(docs: DataFrame, length: int, ranges: int) -> list[bytes]:
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary())], ["s"])
 
     long = docs.filter(F.octet_length("text") >= length)
-    picked = hash_sample(long, "doc_id", ranges * _RANGE_GRAMS // _DOC_GRAMS + 400)
+    picked = hash_sample(long, ("doc_id", "text"), ranges * _RANGE_GRAMS // _DOC_GRAMS + 400)
     found = sorted(bytes(r["s"]) for r in map_arrow(picked.select("text"), run, "s binary").collect())  # bounded by the number of ranges
     return sorted({found[i * len(found) // ranges] for i in range(1, ranges)}) if found else []
 

@@ -143,7 +143,7 @@ def train(
     label only there is no model (None).
     """
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    picked = hash_sample(known, "doc_id", max_rows)  # bounded by max_rows, so it may be broadcast
+    picked = hash_sample(known, ("doc_id",), max_rows)  # bounded by max_rows, so it may be broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     counts = map_arrow(rows.select("text", "toxic"), _count_terms(bits), "term int, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     counts = counts.filter("n0 + n1 >= 3").toPandas()  # 2**bits rows at most
