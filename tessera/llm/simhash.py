@@ -11,6 +11,7 @@ copies) they are linked through points near them, which connects the same ones w
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -155,25 +156,50 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 
 #: Documents and shingles of one block; two blocks are compared at a time, a longer document is a block's only one.
 _BLOCK_DOCS, _BLOCK_SHINGLES = 1024, 250_000
+#: Bits of a segment by the rows up to which a key, two segments long, has 64 fingerprints at most on average.
+_SEGMENT_BITS = ((8, 1 << 22), (9, 1 << 24), (10, 1 << 26), (11, 1 << 28), (12, 1 << 62))
+#: Segments after the first that a key may take as its second; more for sets of few shingles, whose bits differ more.
+_NEXT, _NEXT_OF_FEW, _FEW = 2, 6, 24
+#: Rows whose keys are made at once.
+_FILED = 256
 
 
-def _ring_passes(differ: Column, distance: int) -> Column:
-    """Pigeonring filter for any distance: from some segment on, every chain of l differs in distance * l / 8 at most."""
-    n = _BITS // _SEGMENT
-    apart = [F.bit_count(F.shiftrightunsigned(differ, i * _SEGMENT).bitwiseAND(F.lit((1 << _SEGMENT) - 1))) for i in range(n)]
-    found = F.lit(False)
-    for start in range(n):
-        total, chain = F.lit(0), F.lit(True)
-        for size in range(1, n + 1):
-            total = total + apart[(start + size - 1) % n]
-            chain = chain & (total <= distance * size // n)
-        found = found | chain
-    return found
+def bits_apart(similarity: float) -> float:
+    """Share of SimHash bits that differ for two sets of one size and of this Jaccard similarity."""
+    return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
 
 
-def _band_seeds(bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(11)
-    return rng.integers(0, 1 << 63, (bands * rows,), dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, (bands * rows,), dtype=np.uint64)
+def ring_segments(bits: int, similarity: float) -> int:
+    """Segments of a ring on which all but 1 in 10,000 pairs of a similarity agree in two segments that a key holds.
+
+    Without such two, an agreeing segment is followed by two that don't agree: the number of those rings grows with the
+    largest root of x^3 = (1 - q) x^2 + q (1 - q)^2. The bits are whole words of 64.
+    """
+    q = (1 - max(bits_apart(similarity), 0.02)) ** bits
+    root = max(r.real for r in np.roots([1, q - 1, 0, -q * (1 - q) ** 2]) if abs(r.imag) < 1e-9)
+    whole = 64 // math.gcd(bits, 64)
+    return whole * math.ceil(math.log(1e-4) / math.log(root) / whole)
+
+
+def ring_print(own: np.ndarray, size: int) -> bytes:
+    """SimHash of a set of hashes with `size` words of 64 bits; each word takes a mix of its own of every hash."""
+    n, steps = np.zeros(64 * size, dtype=np.int64), np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for a in range(0, len(own), 255):  # the sums of 255 bits fit in a byte, eight are added at once
+        mixed = own[a : a + 255, None].astype(np.uint64) + steps
+        mixed ^= mixed >> np.uint64(30)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(27)
+        mixed *= np.uint64(0x94D049BB133111EB)
+        mixed ^= mixed >> np.uint64(31)
+        n += np.unpackbits(mixed.view(np.uint8), axis=1).view(np.uint64).sum(axis=0).view(np.uint8)
+    return np.packbits(2 * n > len(own)).tobytes()
+
+
+def ring_keys(prints: np.ndarray, bits: int, following: int) -> np.ndarray:
+    """Keys of each fingerprint (a row of bytes): a place on the ring, its segment and one of the `following` ones."""
+    own = np.unpackbits(prints, axis=1).reshape(len(prints), -1, bits) @ (1 << np.arange(bits))
+    place = np.arange(own.shape[1]) * (_NEXT_OF_FEW + 1)
+    return np.concatenate([((place + c) << (2 * bits)) | (own << bits) | np.roll(own, -c, axis=1) for c in range(1, following + 1)], axis=1)
 
 
 def distinct_hashes(text: str | None, words: int = 5) -> np.ndarray:
@@ -181,27 +207,161 @@ def distinct_hashes(text: str | None, words: int = 5) -> np.ndarray:
     return np.unique(shingle_hashes(text, words).astype("<u8"))
 
 
-def _signatures(words: int, bands: int, rows: int):
-    times, plus = _band_seeds(bands, rows)
-
+def _signatures(words: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slabs(batches):
-            fps, same, keys, sizes = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                own = distinct_hashes(text, words)
-                fps.append(fingerprint(own.astype(">u8")))
-                same.append(xxhash.xxh3_128_digest(own.tobytes()))
-                low = np.array([(own * t + p).min() for t, p in zip(times, plus, strict=True)], dtype=np.uint64).reshape(bands, rows) if len(own) else None
-                keys.append([] if low is None else [xxhash.xxh64_intdigest(low[b].tobytes(), b) - (1 << 63) for b in range(bands)])
-                sizes.append(len(own))
+            sets = [distinct_hashes(t, words) for t in batch.column("text").to_pylist()]
+            same = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            ids = np.frombuffer(b"".join(s[:8] for s in same), dtype="<i8")
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())],
-                ["doc_id", "text_hash", "fp", "same", "bands", "size"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(same, pa.binary()), pa.array(ids), pa.array([len(s) for s in sets], pa.int64()), pa.array([ring_print(s, size) for s in sets], pa.binary())],
+                ["doc_id", "text_hash", "same", "id", "size", "print"],
             )
 
     return run
 
 
+def _prints(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
+
+
+def _file(bits: int):
+    """Rows (key, id, two words of the fingerprint) for every key of a class; none for sets without shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, _FILED):
+                part = batch.slice(a, _FILED)
+                prints, size, ids = _prints(part.column("print")), part.column("size").to_numpy(), part.column("id").to_numpy()
+                for chosen, following in ((size > _FEW, _NEXT), ((size > 0) & (size <= _FEW), _NEXT_OF_FEW)):
+                    if chosen.any():
+                        keys, two = ring_keys(prints[chosen], bits, following), np.ascontiguousarray(prints[chosen, :16]).view("<i8")
+                        n = keys.shape[1]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys.ravel(), *(np.repeat(x, n) for x in (ids[chosen], two[:, 0], two[:, 1])))], ["key", "id", "one", "two"])
+
+    return run
+
+
+def _meet(crowd: int, limit: int):
+    """Pairs u < v of one key whose 128 bits differ in `limit` at most, from rows in the order of the key. Of a key with
+    over `crowd` rows the pairs with its first two rows, and the key itself."""
+
+    def near(rows: list[np.ndarray], i: np.ndarray, other: list[np.ndarray], j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        apart = sum(np.bitwise_count((rows[c][i] ^ other[c][j]).view("u8")) for c in (2, 3))  # of signed ones the absolute value counts
+        u, v = rows[1][i], other[1][j]
+        fine = (apart <= limit) & (u != v)
+        return np.minimum(u, v)[fine], np.maximum(u, v)[fine]
+
+    def to_leaders(rows: list[np.ndarray], leaders: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for k in range(len(leaders[0])):
+            yield near(rows, np.arange(len(rows[0])), leaders, np.full(len(rows[0]), k))
+
+    def pairs(rows: list[np.ndarray], crowded: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        key = rows[0]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        ends = np.concatenate([starts[1:], [len(key)]])
+        for a, b in zip(starts[ends - starts > crowd].tolist(), ends[ends - starts > crowd].tolist(), strict=True):
+            crowded.append(int(key[a]))
+            yield from to_leaders([c[a:b] for c in rows], [c[a : a + 2] for c in rows])
+        left = np.flatnonzero(np.repeat(ends - starts <= crowd, ends - starts))
+        end = np.repeat(ends, ends - starts)
+        for step in range(1, crowd):
+            left = left[left + step < end[left]]
+            if not len(left):
+                break
+            yield near(rows, left, rows, left + step)
+
+    def sent(found: list[tuple[np.ndarray, np.ndarray]], crowded: list[int]) -> pa.RecordBatch:
+        u, v = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, dtype=np.int64) for k in (0, 1))
+        none = pa.nulls(len(crowded), pa.int64())
+        columns = [[pa.array(u), none], [pa.array(v), none], [pa.nulls(len(u), pa.int64()), pa.array(crowded, pa.int64())]]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["u", "v", "crowded"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, leaders = None, None
+        for batch in batches:
+            rows, found, crowded = [c.to_numpy() for c in batch.columns], [], []
+            if leaders and len(rows[0]):
+                n = int(np.searchsorted(rows[0], leaders[0][0], "right"))
+                found += to_leaders([c[:n] for c in rows], leaders)
+                rows, leaders = [c[n:] for c in rows], leaders if n == len(rows[0]) else None
+            if held:
+                rows = [np.concatenate(c) for c in zip(held, rows, strict=True)]
+            if not len(rows[0]):
+                yield sent(found, crowded)
+                continue
+            last = int(np.searchsorted(rows[0], rows[0][-1]))
+            if last:
+                found += pairs([c[:last] for c in rows], crowded)
+            held = [c[last:].copy() for c in rows]
+            if len(held[0]) > crowd:
+                found += pairs(held, crowded)
+                held, leaders = None, [c[:2].copy() for c in held]
+            yield sent(found, crowded)
+        if held:
+            crowded = []
+            yield sent(list(pairs(held, crowded)), crowded)
+
+    return run
+
+
+def _alike_prints(a: np.ndarray, b: np.ndarray, size: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether whole fingerprints can be of similar sets, the smaller of them of `size`: 4.5 standard deviations over
+    the mean, and some more for sets of few shingles."""
+    n, p = 8 * a.shape[-1], bits_apart(similarity)
+    apart = np.bitwise_count(np.ascontiguousarray(a).view("<u8") ^ np.ascontiguousarray(b).view("<u8")).sum(axis=-1, dtype=np.int64)
+    return apart <= n * (p + 4.5 * math.sqrt(max(p, 0.02) / n) + 0.4 / np.maximum(size, 1))
+
+
+def _pass_whole(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                fine = _alike_prints(_prints(batch.column("a")), _prints(batch.column("b")), batch.column("size").to_numpy(), similarity)
+                yield batch.select(["u", "v"]).filter(pa.array(fine))
+
+    return run
+
+
+def crowd_links(same: list[bytes], roots: list[bytes], sizes: np.ndarray, prints: np.ndarray, similarity: float) -> list[tuple[bytes, bytes]]:
+    """Pairs that connect what the pairs of different roots with fingerprints near enough connect."""
+    names, root, n = np.unique(np.array(roots, dtype=object), return_inverse=True, return_counts=True)
+    if len(names) < 2:
+        return []
+    component, out = np.arange(len(same)), []
+    for i in np.flatnonzero(root != n.argmax()).tolist():
+        todo = np.flatnonzero((root != root[i]) & (component != component[i]))
+        near = todo[_alike_prints(prints[todo], prints[i][None], np.minimum(sizes[todo], sizes[i]), similarity)]
+        others, first = np.unique(component[near], return_index=True)
+        out += [(same[i], same[j]) for j in near[first].tolist()]
+        component[np.isin(component, others)] = component[i]
+    return out
+
+
+def _runs(names: tuple[str, ...], links):
+    """Maps each run of rows with equal `names`, as they come sorted, to pairs by a function of their table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+        for batch in batches:
+            found, start = [], 0
+            for i, k in enumerate(zip(*(batch.column(c).to_pylist() for c in names), strict=True)):
+                if k != key:
+                    if i > start:
+                        held.append(batch.slice(start, i - start))
+                    if held:
+                        found += links(pa.Table.from_batches(held))
+                    held, key, start = [], k, i
+            if batch.num_rows > start:
+                held.append(batch.slice(start))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], ["u", "v"])
+        if held and (found := links(pa.Table.from_batches(held))):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], ["u", "v"])
+
+    return run
+
+
 _KEPT_BYTES = 6
 
 
@@ -236,10 +396,10 @@ def set_similarity(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def block_links(roots: list[bytes], blocks: list[int], bands: np.ndarray, place: int, sets: list[bytes], similarity: float) -> list[tuple[bytes, bytes]]:
+def block_links(roots: list[bytes], blocks: list[int], sets: list[bytes], similarity: float) -> list[tuple[bytes, bytes]]:
     """Roots to link so that every alike pair of one block, or of two different ones, is connected.
 
-    Pairs that an earlier band proposes are left to it, and those that are connected by then are not compared.
+    Pairs that are connected by then are not compared.
     """
     of: dict[bytes, int] = {}
     component = np.array([of.setdefault(r, len(of)) for r in roots])
@@ -258,8 +418,6 @@ def block_links(roots: list[bytes], blocks: list[int], bands: np.ndarray, place:
         else:
             todo[: i + 1] = False
         todo &= np.minimum(sizes, sizes[i]) / np.maximum(sizes, sizes[i]) >= similarity
-        if place and todo.any():
-            todo &= ~(bands[:, :place] == bands[i, :place]).any(axis=1)
         if not todo.any():
             continue
         own = ids[ends[i] : ends[i + 1]]
@@ -273,73 +431,55 @@ def block_links(roots: list[bytes], blocks: list[int], bands: np.ndarray, place:
     return links
 
 
-def _compare(similarity: float):
-    """Runs of rows of one cell (place, band, two blocks), as they come sorted."""
-
-    def links(held: list[pa.RecordBatch]) -> list[tuple[bytes, bytes]]:
-        cell = pa.Table.from_batches(held)
-        bands = np.array(cell.column("bands").to_pylist(), dtype=np.int64)
-        return block_links(cell.column("root").to_pylist(), cell.column("block").to_pylist(), bands, cell.column("place")[0].as_py(), cell.column("hashes").to_pylist(), similarity)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
-        for batch in batches:
-            found, start = [], 0
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("place", "band", "one", "two")), strict=True))
-            for i, k in enumerate(keys):
-                if k != key:
-                    if i > start:
-                        held.append(batch.slice(start, i - start))
-                    if held:
-                        found += links(held)
-                    held, key, start = [], k, i
-            if batch.num_rows > start:
-                held.append(batch.slice(start))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], ["u", "v"])
-        if held and (found := links(held)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], ["u", "v"])
-
-    return run
-
-
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 18, bands: int = 12, rows: int = 3) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, crowd: int = 32, bits: int | None = None) -> DataFrame:
     """doc_id, text_hash (XXH64 of the text), component_id (smallest doc_id of its group) and kept for every row.
 
-    Documents whose sets of shingles have a Jaccard similarity of `similarity` or more are linked. Pairs are proposed by
-    bands of minima of the shingle hashes (one of 12 bands of 3 agrees for 0.9998 of the pairs at 0.8), and every pair
-    is decided on the two whole sets. SimHash fingerprints of the distinct shingles only give the order: first each
-    document meets the smallest and one more document of its bands, if the pigeonring filter and `distance` let them
-    pass; then all pairs of a band that are not connected by those links are compared, in blocks, whatever their
-    fingerprints. Texts with the same set of shingles are one class from the start. A null, an empty text and one
-    without words are alike. `kept` holds for one row of each group (and rows that are wholly like it): the smallest by
-    (doc_id, text_hash), null ids last. A group without ids has a null component_id. A very long text is read whole and
-    is a block's only one; columns of other names are not read; an empty table gives an empty result.
+    Documents whose sets of shingles have a Jaccard similarity of `similarity` or more are linked. SimHash fingerprints
+    of the distinct shingles propose the pairs, by pigeonring chains on a ring of segments of `bits` bits (8 for up to
+    4 million rows, then more; ring_segments of them): those that agree in a segment and in one of the two after it.
+    Where less than two thirds as many bits differ as there are segments, some chain of three has one wrong bit at most
+    and starts with an agreeing segment, so such pairs always meet; of those at `similarity` all but 1 in 10,000 do.
+    128 bits, then all bits, reject what cannot be alike, and every pair is decided on the two whole sets: first each
+    document with two of the others that it met, then in blocks all of those that met and that these links don't
+    connect. Of a key with over `crowd` fingerprints (and four times the average) the pairs with two of them come
+    first; then all its fingerprints of different groups are compared. Texts with the same set of shingles are one
+    class from the start. A null, an empty text and one without words are alike. `kept` holds for one row of each group
+    (and rows that are wholly like it): the smallest by (doc_id, text_hash), null ids last. A group without ids has a
+    null component_id. A very long text is read whole and is a block's only one; columns of other names are not read;
+    an empty table gives an empty result.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind, n_rows = docs.schema["doc_id"].dataType.simpleString(), docs.count()
+    bits = bits or next(b for b, most in _SEGMENT_BITS if n_rows <= most)
+    crowd = crowd + 4 * (n_rows >> (2 * bits))
+    p = bits_apart(similarity)
+    limit = int(128 * p + 5.5 * math.sqrt(128 * max(p, 0.02)))
     given = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    table = cut(map_arrow(given, _signatures(words, bands, rows), f"doc_id {kind}, text_hash long, fp long, same binary, bands array<bigint>, size long"))
+    table = cut(map_arrow(given, _signatures(words, bits * ring_segments(bits, similarity) // 64), f"doc_id {kind}, text_hash long, same binary, id long, size long, print binary"))
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    classes = cut(table.groupBy("same").agg(F.min("doc_id").alias("low"), F.min(row).alias("first_row"), *(F.first(c).alias(c) for c in ("fp", "bands", "size"))))
-    filed = classes.select("same", "low", "fp", F.explode("bands").alias("band"))
-    leaders = cut(
-        filed.groupBy("band")
-        .agg(F.min(F.struct("low", "same", "fp")).alias("first"), F.min(F.struct(F.xxhash64("same", "band").alias("h"), "same", "fp")).alias("other"), F.count("*").alias("n"))
-        .filter("n > 1")
-        .select("band", F.explode(F.array(F.struct("first.same", "first.fp"), F.struct("other.same", "other.fp"))).alias("leader"))
-    )
-    crowd = cut(filed.join(leaders.select("band").distinct(), "band", "left_semi").select("same").distinct())
-    speakers = classes.join(crowd, "same", "left_semi").select(F.col("first_row.doc_id").alias("speaker"), F.col("first_row.text_hash").alias("speaks")).distinct()
+    classes = cut(table.groupBy("same").agg(F.min("doc_id").alias("low"), F.min(row).alias("first_row"), *(F.first(c).alias(c) for c in ("id", "size", "print"))))
+    filed = map_arrow(classes.select("id", "size", "print"), _file(bits), "key long, id long, one long, two long")
+    met = cut(map_arrow(filed.repartition("key").sortWithinPartitions("key", "id"), _meet(crowd, limit), "u long, v long, crowded long"))
+    hot = cut(met.filter("crowded is not null").select(F.col("crowded").alias("key")).distinct())
+    whole = classes.select("id", "same", "size", "print")
+    a, b = (whole.select(F.col("id").alias(i), F.col("same").alias(f"{i}_same"), F.col("size").alias(f"{i}_size"), F.col("print").alias(c)) for i, c in (("u", "a"), ("v", "b")))
+    both = met.filter("crowded is null").select("u", "v").distinct().join(a, "u").join(b, "v")
+    pairs = cut(map_arrow(both.select(F.col("u_same").alias("u"), F.col("v_same").alias("v"), F.least("u_size", "v_size").alias("size"), "a", "b"), _pass_whole(similarity), "u binary, v binary"))
+
+    told = pairs.select(F.explode(F.array("u", "v")).alias("same"))
+    crowds = None
+    if not hot.isEmpty():
+        crowds = cut(filed.select("key", "id").join(F.broadcast(hot), "key").join(whole.select("id", "same", "size", "print"), "id"))
+        told = told.union(crowds.select("same"))
+    speakers = classes.join(told.distinct(), "same", "left_semi").select(F.col("first_row.doc_id").alias("speaker"), F.col("first_row.text_hash").alias("speaks")).distinct()
     texts = given.join(speakers, F.col("doc_id").eqNullSafe(F.col("speaker")) & (F.col("text_hash").eqNullSafe(F.col("speaks"))), "left_semi").select("text")
     sets = map_arrow(texts, _sets(words), "same binary, hashes binary")
     if not table.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():  # else each class has one speaker
         sets = sets.dropDuplicates(["same"])
     sets = cut(sets)
 
-    differ = F.col("fp").bitwiseXOR(F.col("leader.fp"))
-    met = filed.join(leaders, "band").filter(F.col("same") != F.col("leader.same")).filter(_ring_passes(differ, distance) & (F.bit_count(differ) <= distance))
-    pairs = met.select(F.greatest("same", "leader.same").alias("u"), F.least("same", "leader.same").alias("v")).distinct()
-    both = pairs.join(sets.select(F.col("same").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("same").alias("v"), F.col("hashes").alias("b")), "v")
+    around = pairs.union(pairs.select("v", "u")).groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    first = around.select("u", F.explode(F.array("low", "high")).alias("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    both = first.join(sets.select(F.col("same").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("same").alias("v"), F.col("hashes").alias("b")), "v")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -347,17 +487,29 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, dis
             yield batch.select(["u", "v"]).filter(pa.array(alike, pa.bool_()))
 
     near = connected_components(map_arrow(both.select("u", "v", "a", "b"), verify, "u binary, v binary"))
-    rooted = cut(classes.join(near, F.col("same") == F.col("node"), "left").select("same", "low", "first_row", "size", "bands", F.coalesce("root", "same").alias("root")))
-    members = rooted.select("same", "root", "size", F.posexplode("bands").alias("place", "band"))
+    rooted = cut(classes.join(near, F.col("same") == F.col("node"), "left").select("same", "low", "first_row", "size", F.coalesce("root", "same").alias("root")))
+    roots = rooted.select("same", "root")
+    open_pairs = pairs.join(roots.select(F.col("same").alias("u"), F.col("root").alias("a")), "u").join(roots.select(F.col("same").alias("v"), F.col("root").alias("b")), "v").filter("a <> b").select("u", "v")
+    if crowds is not None:
+
+        def compare_prints(rows: pa.Table) -> list[tuple[bytes, bytes]]:
+            return crowd_links(rows.column("same").to_pylist(), rows.column("root").to_pylist(), rows.column("size").to_numpy(), _prints(rows.column("print")), similarity)
+
+        ordered = crowds.select("key", "same", "size", "print").join(roots, "same").repartition("key").sortWithinPartitions("key")
+        open_pairs = open_pairs.union(map_arrow(ordered, _runs(("key",), compare_prints), "u binary, v binary"))
+    clusters = connected_components(open_pairs).select(F.col("node").alias("same"), F.col("root").alias("cluster"))
+    clusters = cut(clusters.union(clusters.select(F.col("cluster").alias("same"), "cluster").distinct()))
+    members = clusters.join(rooted.select("same", "root", "size"), "same")
     n_blocks = F.greatest(F.ceil(F.count("*") / _BLOCK_DOCS), F.ceil(F.sum("size") / _BLOCK_SHINGLES))
-    undecided = members.groupBy("place", "band").agg(F.min("root").alias("a"), F.max("root").alias("b"), n_blocks.alias("n")).filter("a < b").select("place", "band", "n")
-    block = F.pmod(F.xxhash64("same"), F.col("n"))
-    dealt = members.drop("size").join(undecided, ["place", "band"]).withColumn("block", block)
-    told = sets.join(rooted.select("same", "bands"), "same").join(dealt, "same")
-    told = told.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    cells = told.select("place", "band", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "root", "bands", "hashes")
-    cells = cells.repartition("place", "band", "one", "two").sortWithinPartitions("place", "band", "one", "two")
-    last = connected_components(map_arrow(cells, _compare(similarity), "u binary, v binary")).withColumnRenamed("root", "top")
+    dealt = members.drop("size").join(members.groupBy("cluster").agg(n_blocks.alias("n")), "cluster").withColumn("block", F.pmod(F.xxhash64("same"), F.col("n")))
+    cells = sets.join(dealt, "same").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    cells = cells.select("cluster", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "root", "hashes")
+    cells = cells.repartition("cluster", "one", "two").sortWithinPartitions("cluster", "one", "two")
+
+    def compare_sets(rows: pa.Table) -> list[tuple[bytes, bytes]]:
+        return block_links(rows.column("root").to_pylist(), rows.column("block").to_pylist(), rows.column("hashes").to_pylist(), similarity)
+
+    last = connected_components(map_arrow(cells, _runs(("cluster", "one", "two"), compare_sets), "u binary, v binary")).withColumnRenamed("root", "top")
     named = rooted.join(last, F.col("root") == F.col("node"), "left").select("same", "low", "first_row", F.coalesce("top", "root").alias("root"))
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"), F.min("first_row").alias("kept_row"))
     named = named.join(lows, "root").select("same", "component_id", "kept_row")
