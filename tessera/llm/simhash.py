@@ -331,7 +331,11 @@ def crowd_links(same: list[bytes], roots: list[bytes], sizes: np.ndarray, prints
     component, out = np.arange(len(same)), []
     for i in np.flatnonzero(root != n.argmax()).tolist():
         todo = np.flatnonzero((root != root[i]) & (component != component[i]))
+        if not len(todo):
+            continue
         near = todo[_alike_prints(prints[todo], prints[i][None], np.minimum(sizes[todo], sizes[i]), similarity)]
+        if not len(near):
+            continue
         others, first = np.unique(component[near], return_index=True)
         out += [(same[i], same[j]) for j in near[first].tolist()]
         component[np.isin(component, others)] = component[i]
