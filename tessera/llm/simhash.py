@@ -160,6 +160,10 @@ _BLOCK_DOCS, _BLOCK_SHINGLES = 1024, 250_000
 _SEGMENT_BITS = ((8, 1 << 22), (9, 1 << 24), (10, 1 << 26), (11, 1 << 28), (12, 1 << 62))
 #: Segments after the first that a key may take as its second; more for sets of few shingles, whose bits differ more.
 _NEXT, _NEXT_OF_FEW, _FEW = 2, 6, 24
+#: Of the keys of rows in crowds each so many-th comes first.
+_FIRST_KEYS = 8
+#: Links whose components one task may find; more of them take rounds over all tasks.
+_LINKS = 200_000
 #: Rows whose keys are made at once.
 _FILED = 256
 
@@ -225,8 +229,9 @@ def _prints(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
 
 
-def _file(bits: int):
-    """Rows (key, id, two words of the fingerprint) for every key of a class; none for sets without shingles."""
+def _file(bits: int, every: int = 0):
+    """Rows (key, id, two words of the fingerprint) for every key of a class; none for sets without shingles. With
+    `every` rows (key, id, group, size, fingerprint) for each so many-th key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,73 +239,73 @@ def _file(bits: int):
                 part = batch.slice(a, _FILED)
                 prints, size, ids = _prints(part.column("print")), part.column("size").to_numpy(), part.column("id").to_numpy()
                 for chosen, following in ((size > _FEW, _NEXT), ((size > 0) & (size <= _FEW), _NEXT_OF_FEW)):
-                    if chosen.any():
-                        keys, two = ring_keys(prints[chosen], bits, following), np.ascontiguousarray(prints[chosen, :16]).view("<i8")
-                        n = keys.shape[1]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys.ravel(), *(np.repeat(x, n) for x in (ids[chosen], two[:, 0], two[:, 1])))], ["key", "id", "one", "two"])
+                    if not chosen.any():
+                        continue
+                    keys = ring_keys(prints[chosen], bits, following)[:, :: every or 1]
+                    row = np.repeat(np.flatnonzero(chosen), keys.shape[1])
+                    if every:
+                        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(part.column(c).take(pa.array(row)) for c in ("id", "group", "size", "print"))], ["key", "id", "group", "size", "print"])
+                    else:
+                        two = np.ascontiguousarray(prints[:, :16]).view("<i8")
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys.ravel(), ids[row], two[row, 0], two[row, 1])], ["key", "id", "one", "two"])
 
     return run
 
 
 def _meet(crowd: int, limit: int):
-    """Pairs u < v of one key whose 128 bits differ in `limit` at most, from rows in the order of the key. Of a key with
-    over `crowd` rows the pairs with its first two rows, and the key itself."""
+    """Pairs u < v of one key whose 128 bits differ in `limit` at most, from rows in the order of the key: no more of
+    them than a key has rows. Of a key with more, or with over `crowd` rows, the ids that may have such pairs."""
 
-    def near(rows: list[np.ndarray], i: np.ndarray, other: list[np.ndarray], j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        apart = sum(np.bitwise_count((rows[c][i] ^ other[c][j]).view("u8")) for c in (2, 3))  # of signed ones the absolute value counts
-        u, v = rows[1][i], other[1][j]
-        fine = (apart <= limit) & (u != v)
-        return np.minimum(u, v)[fine], np.maximum(u, v)[fine]
-
-    def to_leaders(rows: list[np.ndarray], leaders: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for k in range(len(leaders[0])):
-            yield near(rows, np.arange(len(rows[0])), leaders, np.full(len(rows[0]), k))
-
-    def pairs(rows: list[np.ndarray], crowded: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        key = rows[0]
+    def pairs(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        key, ids = rows[:2]
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        ends = np.concatenate([starts[1:], [len(key)]])
-        for a, b in zip(starts[ends - starts > crowd].tolist(), ends[ends - starts > crowd].tolist(), strict=True):
-            crowded.append(int(key[a]))
-            yield from to_leaders([c[a:b] for c in rows], [c[a : a + 2] for c in rows])
-        left = np.flatnonzero(np.repeat(ends - starts <= crowd, ends - starts))
-        end = np.repeat(ends, ends - starts)
+        n = np.diff(np.concatenate([starts, [len(key)]]))
+        of, end = np.repeat(np.arange(len(n)), n), np.repeat(starts + n, n)
+        left = np.flatnonzero(n[of] <= crowd)
+        i, j = [left[:0]], [left[:0]]
         for step in range(1, crowd):
             left = left[left + step < end[left]]
             if not len(left):
                 break
-            yield near(rows, left, rows, left + step)
-
-    def sent(found: list[tuple[np.ndarray, np.ndarray]], crowded: list[int]) -> pa.RecordBatch:
-        u, v = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, dtype=np.int64) for k in (0, 1))
-        none = pa.nulls(len(crowded), pa.int64())
-        columns = [[pa.array(u), none], [pa.array(v), none], [pa.nulls(len(u), pa.int64()), pa.array(crowded, pa.int64())]]
-        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["u", "v", "crowded"])
+            apart = sum(np.bitwise_count((c[left] ^ c[left + step]).view("u8")) for c in rows[2:])  # of signed ones the absolute value counts
+            fine = left[(apart <= limit) & (ids[left] != ids[left + step])]
+            i.append(fine)
+            j.append(fine + step)
+        i, j = np.concatenate(i), np.concatenate(j)
+        sparse = (np.bincount(of[i], minlength=len(n)) <= n)[of[i]]
+        u, v = ids[i[sparse]], ids[j[sparse]]
+        return np.minimum(u, v), np.maximum(u, v), ids[np.concatenate([i[~sparse], j[~sparse], np.flatnonzero(n[of] > crowd)])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, leaders = None, None
+        held, large, told = None, None, np.zeros(0, dtype=np.int64)
+
+        def sent(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            nonlocal told
+            u, v, dense = (np.concatenate([told[:0], *(f[k] for f in found)]) for k in range(3))
+            dense = np.setdiff1d(dense, told)
+            told = np.union1d(told, dense)
+            columns = [[pa.array(u), none := pa.nulls(len(dense), pa.int64())], [pa.array(v), none], [pa.nulls(len(u), pa.int64()), pa.array(dense)]]
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["u", "v", "dense"])
+
         for batch in batches:
-            rows, found, crowded = [c.to_numpy() for c in batch.columns], [], []
-            if leaders and len(rows[0]):
-                n = int(np.searchsorted(rows[0], leaders[0][0], "right"))
-                found += to_leaders([c[:n] for c in rows], leaders)
-                rows, leaders = [c[n:] for c in rows], leaders if n == len(rows[0]) else None
+            rows, found = [c.to_numpy() for c in batch.columns], []
+            if large is not None and len(rows[0]):
+                n = int(np.searchsorted(rows[0], large, "right"))
+                found.append((told[:0], told[:0], rows[1][:n]))
+                rows, large = [c[n:] for c in rows], large if n == len(rows[0]) else None
             if held:
                 rows = [np.concatenate(c) for c in zip(held, rows, strict=True)]
-            if not len(rows[0]):
-                yield sent(found, crowded)
-                continue
-            last = int(np.searchsorted(rows[0], rows[0][-1]))
-            if last:
-                found += pairs([c[:last] for c in rows], crowded)
-            held = [c[last:].copy() for c in rows]
-            if len(held[0]) > crowd:
-                found += pairs(held, crowded)
-                held, leaders = None, [c[:2].copy() for c in held]
-            yield sent(found, crowded)
+            if len(rows[0]):
+                last = int(np.searchsorted(rows[0], rows[0][-1]))
+                if last:
+                    found.append(pairs([c[:last] for c in rows]))
+                held = [c[last:].copy() for c in rows]
+                if len(held[0]) > crowd:
+                    found.append(pairs(held))
+                    held, large = None, held[0][0]
+            yield sent(found)
         if held:
-            crowded = []
-            yield sent(list(pairs(held, crowded)), crowded)
+            yield sent([pairs(held)])
 
     return run
 
@@ -323,26 +328,56 @@ def _pass_whole(similarity: float):
     return run
 
 
-def crowd_links(same: list[bytes], roots: list[bytes], sizes: np.ndarray, prints: np.ndarray, similarity: float) -> list[tuple[bytes, bytes]]:
-    """Pairs that connect what the pairs of different roots with fingerprints near enough connect."""
-    names, root, n = np.unique(np.array(roots, dtype=object), return_inverse=True, return_counts=True)
+def crowd_links(groups: np.ndarray, sizes: np.ndarray, prints: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of groups that connect what the pairs of different groups with fingerprints near enough connect."""
+    names, component, n = np.unique(groups, return_inverse=True, return_counts=True)
+    out: list[tuple[int, int]] = []
     if len(names) < 2:
-        return []
-    component, out = np.arange(len(same)), []
-    for i in np.flatnonzero(root != n.argmax()).tolist():
-        todo = np.flatnonzero((root != root[i]) & (component != component[i]))
+        return out
+    for i in np.flatnonzero(component != n.argmax()).tolist():  # pairs with the largest one are seen from their other side
+        todo = np.flatnonzero(component != component[i])
         if not len(todo):
-            continue
+            break
         near = todo[_alike_prints(prints[todo], prints[i][None], np.minimum(sizes[todo], sizes[i]), similarity)]
-        if not len(near):
-            continue
-        others, first = np.unique(component[near], return_index=True)
-        out += [(same[i], same[j]) for j in near[first].tolist()]
-        component[np.isin(component, others)] = component[i]
+        if len(near):
+            others, first = np.unique(component[near], return_index=True)
+            out += [(int(groups[i]), int(groups[j])) for j in near[first]]
+            component[np.isin(component, others)] = component[i]
     return out
 
 
-def _runs(names: tuple[str, ...], links):
+def _tie(similarity: float):
+    """Pairs u, v of groups that connect all groups with near fingerprints under one key, from rows in the order of the
+    key. What a task has connected under one key it doesn't connect again under another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict[int, int] = {}
+
+        def top(g: int) -> int:
+            way = []
+            while (up := above.get(g, g)) != g:
+                way.append(g)
+                g = up
+            above.update((w, g) for w in way)
+            return g
+
+        def links(rows: pa.Table) -> list[tuple[int, int]]:
+            if rows.num_rows < 2:
+                return []
+            groups = np.array([top(g) for g in rows.column("group").to_pylist()], dtype=np.int64)
+            if (groups == groups[0]).all():
+                return []
+            found = crowd_links(groups, rows.column("size").to_numpy(), _prints(rows.column("print")), similarity)
+            for u, v in found:
+                above[top(u)] = top(v)
+            return found
+
+        yield from _runs(("key",), links, pa.int64())(batches)
+
+    return run
+
+
+def _runs(names: tuple[str, ...], links, kind: pa.DataType = pa.binary()):  # noqa: B008
     """Maps each run of rows with equal `names`, as they come sorted, to pairs by a function of their table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,9 +394,9 @@ def _runs(names: tuple[str, ...], links):
             if batch.num_rows > start:
                 held.append(batch.slice(start))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in zip(*found, strict=True)], ["u", "v"])
         if held and (found := links(pa.Table.from_batches(held))):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c in zip(*found, strict=True)], ["u", "v"])
 
     return run
 
@@ -415,12 +450,12 @@ def block_links(roots: list[bytes], blocks: list[int], sets: list[bytes], simila
     ends = np.concatenate([[0], np.cumsum(several)])[np.concatenate([[0], np.cumsum(sizes)])]
     ids, mark, block = ids[several], np.zeros(len(found), dtype=bool), np.array(blocks)
     two, links = block.min() != block.max(), []
-    for i in range(len(roots)):
+    largest = component == np.bincount(component).argmax()  # pairs with these are seen from their other side
+    for i in np.flatnonzero(~largest).tolist():
         todo = component != component[i]
+        todo[: i + 1] &= largest[: i + 1]
         if two:
-            todo &= (block != block[i]) if block[i] == block.min() else False
-        else:
-            todo[: i + 1] = False
+            todo &= block != block[i]
         todo &= np.minimum(sizes, sizes[i]) / np.maximum(sizes, sizes[i]) >= similarity
         if not todo.any():
             continue
@@ -435,6 +470,21 @@ def block_links(roots: list[bytes], blocks: list[int], sets: list[bytes], simila
     return links
 
 
+def _ties(dense: DataFrame, bits: int, similarity: float) -> DataFrame:
+    """Pairs u, v of ids that connect all rows with a common key and near fingerprints.
+
+    First by every eighth key; what that connects is a group, and under all keys only different groups are compared.
+    """
+
+    def tied(rows: DataFrame, every: int) -> DataFrame:
+        filed = map_arrow(rows.select("id", "group", "size", "print"), _file(bits, every), "key long, id long, group long, size long, print binary")
+        return map_arrow(filed.repartition("key").sortWithinPartitions("key"), _tie(similarity), "u long, v long")
+
+    near = cut(connected_components(tied(dense.withColumn("group", F.col("id")), _FIRST_KEYS), at_once=_LINKS))
+    grouped = dense.join(near, F.col("id") == F.col("node"), "left").withColumn("group", F.coalesce("root", "id"))
+    return near.select(F.col("node").alias("u"), F.col("root").alias("v")).union(tied(grouped, 1))
+
+
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, crowd: int = 32, bits: int | None = None) -> DataFrame:
     """doc_id, text_hash (XXH64 of the text), component_id (smallest doc_id of its group) and kept for every row.
 
@@ -445,9 +495,9 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, cro
     and starts with an agreeing segment, so such pairs always meet; of those at `similarity` all but 1 in 10,000 do.
     128 bits, then all bits, reject what cannot be alike, and every pair is decided on the two whole sets: first each
     document with two of the others that it met, then in blocks all of those that met and that these links don't
-    connect. Of a key with over `crowd` fingerprints (and four times the average) the pairs with two of them come
-    first; then all its fingerprints of different groups are compared. Texts with the same set of shingles are one
-    class from the start. A null, an empty text and one without words are alike. `kept` holds for one row of each group
+    connect. A key gives no more pairs than it has rows: where it would, or has over `crowd` fingerprints (and four
+    times the average), its rows are filed again with all bits, and only as many of their pairs are listed as connect
+    all; what these connect is compared in blocks. Texts with the same set of shingles are one class from the start. A null, an empty text and one without words are alike. `kept` holds for one row of each group
     (and rows that are wholly like it): the smallest by (doc_id, text_hash), null ids last. A group without ids has a
     null component_id. A very long text is read whole and is a block's only one; columns of other names are not read;
     an empty table gives an empty result.
@@ -462,18 +512,18 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, cro
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     classes = cut(table.groupBy("same").agg(F.min("doc_id").alias("low"), F.min(row).alias("first_row"), *(F.first(c).alias(c) for c in ("id", "size", "print"))))
     filed = map_arrow(classes.select("id", "size", "print"), _file(bits), "key long, id long, one long, two long")
-    met = cut(map_arrow(filed.repartition("key").sortWithinPartitions("key", "id"), _meet(crowd, limit), "u long, v long, crowded long"))
-    hot = cut(met.filter("crowded is not null").select(F.col("crowded").alias("key")).distinct())
+    met = cut(map_arrow(filed.repartition("key").sortWithinPartitions("key", "id"), _meet(crowd, limit), "u long, v long, dense long"))
     whole = classes.select("id", "same", "size", "print")
     a, b = (whole.select(F.col("id").alias(i), F.col("same").alias(f"{i}_same"), F.col("size").alias(f"{i}_size"), F.col("print").alias(c)) for i, c in (("u", "a"), ("v", "b")))
-    both = met.filter("crowded is null").select("u", "v").distinct().join(a, "u").join(b, "v")
-    pairs = cut(map_arrow(both.select(F.col("u_same").alias("u"), F.col("v_same").alias("v"), F.least("u_size", "v_size").alias("size"), "a", "b"), _pass_whole(similarity), "u binary, v binary"))
+    both = met.filter("dense is null").select("u", "v").distinct().join(a, "u").join(b, "v")
+    single = cut(map_arrow(both.select(F.col("u_same").alias("u"), F.col("v_same").alias("v"), F.least("u_size", "v_size").alias("size"), "a", "b"), _pass_whole(similarity), "u binary, v binary"))
+    dense = cut(whole.join(met.filter("dense is not null").select(F.col("dense").alias("id")).distinct(), "id", "left_semi"))
+    ties = None
+    if not dense.isEmpty():
+        ties = cut(_ties(dense, bits, similarity).join(a.select("u", "u_same"), "u").join(b.select("v", "v_same"), "v").select(F.col("u_same").alias("u"), F.col("v_same").alias("v")))
+    pairs = single if ties is None else single.union(ties)
 
     told = pairs.select(F.explode(F.array("u", "v")).alias("same"))
-    crowds = None
-    if not hot.isEmpty():
-        crowds = cut(filed.select("key", "id").join(F.broadcast(hot), "key").join(whole.select("id", "same", "size", "print"), "id"))
-        told = told.union(crowds.select("same"))
     speakers = classes.join(told.distinct(), "same", "left_semi").select(F.col("first_row.doc_id").alias("speaker"), F.col("first_row.text_hash").alias("speaks")).distinct()
     texts = given.join(speakers, F.col("doc_id").eqNullSafe(F.col("speaker")) & (F.col("text_hash").eqNullSafe(F.col("speaks"))), "left_semi").select("text")
     sets = map_arrow(texts, _sets(words), "same binary, hashes binary")
@@ -490,22 +540,18 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, cro
             alike = [set_similarity(a, b) >= similarity for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
             yield batch.select(["u", "v"]).filter(pa.array(alike, pa.bool_()))
 
-    near = connected_components(map_arrow(both.select("u", "v", "a", "b"), verify, "u binary, v binary"))
+    near = connected_components(map_arrow(both.select("u", "v", "a", "b"), verify, "u binary, v binary"), at_once=_LINKS)
     rooted = cut(classes.join(near, F.col("same") == F.col("node"), "left").select("same", "low", "first_row", "size", F.coalesce("root", "same").alias("root")))
     roots = rooted.select("same", "root")
-    open_pairs = pairs.join(roots.select(F.col("same").alias("u"), F.col("root").alias("a")), "u").join(roots.select(F.col("same").alias("v"), F.col("root").alias("b")), "v").filter("a <> b").select("u", "v")
-    if crowds is not None:
-
-        def compare_prints(rows: pa.Table) -> list[tuple[bytes, bytes]]:
-            return crowd_links(rows.column("same").to_pylist(), rows.column("root").to_pylist(), rows.column("size").to_numpy(), _prints(rows.column("print")), similarity)
-
-        ordered = crowds.select("key", "same", "size", "print").join(roots, "same").repartition("key").sortWithinPartitions("key")
-        open_pairs = open_pairs.union(map_arrow(ordered, _runs(("key",), compare_prints), "u binary, v binary"))
-    clusters = connected_components(open_pairs).select(F.col("node").alias("same"), F.col("root").alias("cluster"))
+    open_pairs = single.join(roots.select(F.col("same").alias("u"), F.col("root").alias("a")), "u").join(roots.select(F.col("same").alias("v"), F.col("root").alias("b")), "v").filter("a <> b").select("u", "v")
+    if ties is not None:  # all of them: they connect pairs that they don't list
+        open_pairs = open_pairs.union(ties)
+    clusters = connected_components(open_pairs, at_once=_LINKS).select(F.col("node").alias("same"), F.col("root").alias("cluster"))
     clusters = cut(clusters.union(clusters.select(F.col("cluster").alias("same"), "cluster").distinct()))
     members = clusters.join(rooted.select("same", "root", "size"), "same")
     n_blocks = F.greatest(F.ceil(F.count("*") / _BLOCK_DOCS), F.ceil(F.sum("size") / _BLOCK_SHINGLES))
-    dealt = members.drop("size").join(members.groupBy("cluster").agg(n_blocks.alias("n")), "cluster").withColumn("block", F.pmod(F.xxhash64("same"), F.col("n")))
+    split = members.groupBy("cluster").agg(n_blocks.alias("n"), (F.min("root") < F.max("root")).alias("several")).filter("several")
+    dealt = members.drop("size").join(split, "cluster").withColumn("block", F.pmod(F.xxhash64("same"), F.col("n")))
     cells = sets.join(dealt, "same").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     cells = cells.select("cluster", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "root", "hashes")
     cells = cells.repartition("cluster", "one", "two").sortWithinPartitions("cluster", "one", "two")
@@ -513,7 +559,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, cro
     def compare_sets(rows: pa.Table) -> list[tuple[bytes, bytes]]:
         return block_links(rows.column("root").to_pylist(), rows.column("block").to_pylist(), rows.column("hashes").to_pylist(), similarity)
 
-    last = connected_components(map_arrow(cells, _runs(("cluster", "one", "two"), compare_sets), "u binary, v binary")).withColumnRenamed("root", "top")
+    last = connected_components(map_arrow(cells, _runs(("cluster", "one", "two"), compare_sets), "u binary, v binary"), at_once=_LINKS).withColumnRenamed("root", "top")
     named = rooted.join(last, F.col("root") == F.col("node"), "left").select("same", "low", "first_row", F.coalesce("top", "root").alias("root"))
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"), F.min("first_row").alias("kept_row"))
     named = named.join(lows, "root").select("same", "component_id", "kept_row")
