@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -160,8 +161,10 @@ _BLOCK_DOCS, _BLOCK_SHINGLES = 1024, 250_000
 _SEGMENT_BITS = ((8, 1 << 22), (9, 1 << 24), (10, 1 << 26), (11, 1 << 28), (12, 1 << 62))
 #: Segments after the first that a key may take as its second; more for sets of few shingles, whose bits differ more.
 _NEXT, _NEXT_OF_FEW, _FEW = 2, 6, 24
-#: Of the keys of rows in crowds each so many-th comes first.
-_FIRST_KEYS = 8
+#: Words of a fingerprint that go with every key.
+_WORDS = 3
+#: Where the ring is cut, in 32nds of it: the keys of one part are filed at a time, those of a short one first.
+_CUTS = (0, 1, 8, 20, 32)
 #: Links whose components one task may find; more of them take rounds over all tasks.
 _LINKS = 200_000
 #: Rows whose keys are made at once.
@@ -199,11 +202,14 @@ def ring_print(own: np.ndarray, size: int) -> bytes:
     return np.packbits(2 * n > len(own)).tobytes()
 
 
-def ring_keys(prints: np.ndarray, bits: int, following: int) -> np.ndarray:
-    """Keys of each fingerprint (a row of bytes): a place on the ring, its segment and one of the `following` ones."""
-    own = np.unpackbits(prints, axis=1).reshape(len(prints), -1, bits) @ (1 << np.arange(bits))
-    place = np.arange(own.shape[1]) * (_NEXT_OF_FEW + 1)
-    return np.concatenate([((place + c) << (2 * bits)) | (own << bits) | np.roll(own, -c, axis=1) for c in range(1, following + 1)], axis=1)
+def ring_keys(prints: np.ndarray, bits: int, following: int, part: tuple[int, int] | None = None) -> np.ndarray:
+    """Keys of each fingerprint (a row of bytes): a place on the ring, its segment and one of the `following` ones. With
+    `part` those of the places from one to another."""
+    own = np.unpackbits(prints, axis=1).reshape(len(prints), -1, bits)
+    start, end = part or (0, own.shape[1])
+    own = own[:, np.arange(start, end + following) % own.shape[1]] @ (1 << np.arange(bits))
+    place, n = np.arange(start, end) * (_NEXT_OF_FEW + 1), end - start
+    return np.concatenate([((place + c) << (2 * bits)) | (own[:, :n] << bits) | own[:, c : c + n] for c in range(1, following + 1)], axis=1)
 
 
 def distinct_hashes(text: str | None, words: int = 5) -> np.ndarray:
@@ -229,107 +235,42 @@ def _prints(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
 
 
-def _file(bits: int, every: int = 0):
-    """Rows (key, id, two words of the fingerprint) for every key of a class; none for sets without shingles. With
-    `every` rows (key, id, group, size, fingerprint) for each so many-th key."""
+def _file(bits: int, part: tuple[int, int]):
+    """Rows (key, id, group, words of the fingerprint) for every key of a class in a part of the ring; none for sets
+    without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, _FILED):
-                part = batch.slice(a, _FILED)
-                prints, size, ids = _prints(part.column("print")), part.column("size").to_numpy(), part.column("id").to_numpy()
+                rows = batch.slice(a, _FILED)
+                prints, size, ids, groups = _prints(rows.column("print")), *(rows.column(c).to_numpy() for c in ("size", "id", "group"))
+                words = np.ascontiguousarray(prints[:, : 8 * _WORDS]).view("<i8")
                 for chosen, following in ((size > _FEW, _NEXT), ((size > 0) & (size <= _FEW), _NEXT_OF_FEW)):
                     if not chosen.any():
                         continue
-                    keys = ring_keys(prints[chosen], bits, following)[:, :: every or 1]
+                    keys = ring_keys(prints[chosen], bits, following, part)
                     row = np.repeat(np.flatnonzero(chosen), keys.shape[1])
-                    if every:
-                        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(part.column(c).take(pa.array(row)) for c in ("id", "group", "size", "print"))], ["key", "id", "group", "size", "print"])
-                    else:
-                        two = np.ascontiguousarray(prints[:, :16]).view("<i8")
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys.ravel(), ids[row], two[row, 0], two[row, 1])], ["key", "id", "one", "two"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys.ravel(), ids[row], groups[row], *words[row].T)], ["key", "id", "group", *_WORD_NAMES])
 
     return run
 
 
-def _meet(crowd: int, limit: int):
-    """Pairs u < v of one key whose 128 bits differ in `limit` at most, from rows in the order of the key: no more of
-    them than a key has rows. Of a key with more, or with over `crowd` rows, the ids that may have such pairs."""
-
-    def pairs(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        key, ids = rows[:2]
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        n = np.diff(np.concatenate([starts, [len(key)]]))
-        of, end = np.repeat(np.arange(len(n)), n), np.repeat(starts + n, n)
-        left = np.flatnonzero(n[of] <= crowd)
-        i, j = [left[:0]], [left[:0]]
-        for step in range(1, crowd):
-            left = left[left + step < end[left]]
-            if not len(left):
-                break
-            apart = sum(np.bitwise_count((c[left] ^ c[left + step]).view("u8")) for c in rows[2:])  # of signed ones the absolute value counts
-            fine = left[(apart <= limit) & (ids[left] != ids[left + step])]
-            i.append(fine)
-            j.append(fine + step)
-        i, j = np.concatenate(i), np.concatenate(j)
-        sparse = (np.bincount(of[i], minlength=len(n)) <= n)[of[i]]
-        u, v = ids[i[sparse]], ids[j[sparse]]
-        return np.minimum(u, v), np.maximum(u, v), ids[np.concatenate([i[~sparse], j[~sparse], np.flatnonzero(n[of] > crowd)])]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, large, told = None, None, np.zeros(0, dtype=np.int64)
+_WORD_NAMES = tuple(f"word_{k}" for k in range(_WORDS))
 
-        def sent(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            nonlocal told
-            u, v, dense = (np.concatenate([told[:0], *(f[k] for f in found)]) for k in range(3))
-            dense = np.setdiff1d(dense, told)
-            told = np.union1d(told, dense)
-            columns = [[pa.array(u), none := pa.nulls(len(dense), pa.int64())], [pa.array(v), none], [pa.nulls(len(u), pa.int64()), pa.array(dense)]]
-            return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["u", "v", "dense"])
 
-        for batch in batches:
-            rows, found = [c.to_numpy() for c in batch.columns], []
-            if large is not None and len(rows[0]):
-                n = int(np.searchsorted(rows[0], large, "right"))
-                found.append((told[:0], told[:0], rows[1][:n]))
-                rows, large = [c[n:] for c in rows], large if n == len(rows[0]) else None
-            if held:
-                rows = [np.concatenate(c) for c in zip(held, rows, strict=True)]
-            if len(rows[0]):
-                last = int(np.searchsorted(rows[0], rows[0][-1]))
-                if last:
-                    found.append(pairs([c[:last] for c in rows]))
-                held = [c[last:].copy() for c in rows]
-                if len(held[0]) > crowd:
-                    found.append(pairs(held))
-                    held, large = None, held[0][0]
-            yield sent(found)
-        if held:
-            yield sent([pairs(held)])
-
-    return run
+def words_limit(similarity: float) -> int:
+    """Bits in which the words that go with a key may differ: 5.5 standard deviations over the mean."""
+    n, p = 64 * _WORDS, bits_apart(similarity)
+    return int(n * p + 5.5 * math.sqrt(n * max(p, 0.02)))
 
 
-def _alike_prints(a: np.ndarray, b: np.ndarray, size: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether whole fingerprints can be of similar sets, the smaller of them of `size`: 4.5 standard deviations over
-    the mean, and some more for sets of few shingles."""
-    n, p = 8 * a.shape[-1], bits_apart(similarity)
-    apart = np.bitwise_count(np.ascontiguousarray(a).view("<u8") ^ np.ascontiguousarray(b).view("<u8")).sum(axis=-1, dtype=np.int64)
-    return apart <= n * (p + 4.5 * math.sqrt(max(p, 0.02) / n) + 0.4 / np.maximum(size, 1))
+def _apart(words: list[np.ndarray], i, j) -> np.ndarray:
+    """Bits that differ between rows i and rows j."""
+    return sum(np.bitwise_count((c[i] ^ c[j]).view("u8")).astype(np.int64) for c in words)  # of signed ones the absolute value counts
 
 
-def _pass_whole(similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                fine = _alike_prints(_prints(batch.column("a")), _prints(batch.column("b")), batch.column("size").to_numpy(), similarity)
-                yield batch.select(["u", "v"]).filter(pa.array(fine))
-
-    return run
-
-
-def crowd_links(groups: np.ndarray, sizes: np.ndarray, prints: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Pairs of groups that connect what the pairs of different groups with fingerprints near enough connect."""
+def crowd_links(groups: np.ndarray, words: list[np.ndarray], limit: int) -> list[tuple[int, int]]:
+    """Rows i, j, near each other, that connect what the near rows of different groups connect."""
     names, component, n = np.unique(groups, return_inverse=True, return_counts=True)
     out: list[tuple[int, int]] = []
     if len(names) < 2:
@@ -338,20 +279,26 @@ def crowd_links(groups: np.ndarray, sizes: np.ndarray, prints: np.ndarray, simil
         todo = np.flatnonzero(component != component[i])
         if not len(todo):
             break
-        near = todo[_alike_prints(prints[todo], prints[i][None], np.minimum(sizes[todo], sizes[i]), similarity)]
+        near = todo[_apart(words, todo, i) <= limit]
         if len(near):
             others, first = np.unique(component[near], return_index=True)
-            out += [(int(groups[i]), int(groups[j])) for j in near[first]]
+            out += [(i, int(j)) for j in near[first]]
             component[np.isin(component, others)] = component[i]
     return out
 
 
-def _tie(similarity: float):
-    """Pairs u, v of groups that connect all groups with near fingerprints under one key, from rows in the order of the
-    key. What a task has connected under one key it doesn't connect again under another."""
+def _meet(crowd: int, limit: int):
+    """Of the rows under one key, as they come sorted, those of different groups whose words differ in `limit` bits at
+    most: pairs u < v, no more of them than a key has rows. Of a key with more, or with over `crowd` rows, only as many
+    as connect all: each id (dense) with the one that it is near (hub), and once those with themselves.
+
+    What a task has connected in a crowd it doesn't connect again under another key. Rows without a group are one each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         above: dict[int, int] = {}
+        hubs: set[int] = set()
+        held = None
 
         def top(g: int) -> int:
             way = []
@@ -361,18 +308,75 @@ def _tie(similarity: float):
             above.update((w, g) for w in way)
             return g
 
-        def links(rows: pa.Table) -> list[tuple[int, int]]:
-            if rows.num_rows < 2:
-                return []
-            groups = np.array([top(g) for g in rows.column("group").to_pylist()], dtype=np.int64)
+        def tied(ids: np.ndarray, groups: np.ndarray, words: list[np.ndarray]) -> list[tuple[int, int]]:
             if (groups == groups[0]).all():
                 return []
-            found = crowd_links(groups, rows.column("size").to_numpy(), _prints(rows.column("print")), similarity)
-            for u, v in found:
-                above[top(u)] = top(v)
-            return found
+            groups = np.array([top(g) for g in groups.tolist()], dtype=np.int64)
+            out = []
+            for i, j in crowd_links(groups, words, limit):
+                above[top(int(groups[j]))] = top(int(groups[i]))
+                i, j = int(ids[i]), int(ids[j])
+                out += [(j, i)] if i in hubs else [(j, i), (i, i)]
+                hubs.add(i)
+            return out
+
+        def found(rows: list[np.ndarray]) -> pa.RecordBatch:
+            key, ids, groups, *words = rows
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            n = np.diff(np.concatenate([starts, [len(key)]]))
+            of, end = np.repeat(np.arange(len(n)), n), np.repeat(starts + n, n)
+            left = np.flatnonzero(n[of] <= crowd)
+            i, j = [left[:0]], [left[:0]]
+            for step in range(1, crowd):
+                left = left[left + step < end[left]]
+                if not len(left):
+                    break
+                fine = left[(_apart(words, left, left + step) <= limit) & (groups[left] != groups[left + step])]
+                i.append(fine)
+                j.append(fine + step)
+            i, j = np.concatenate(i), np.concatenate(j)
+            many = np.bincount(of[i], minlength=len(n)) > n
+            ties = []
+            for k in np.flatnonzero(many | (n > crowd)).tolist():
+                of_key = slice(starts[k], starts[k] + n[k])
+                ties += tied(ids[of_key], groups[of_key], [c[of_key] for c in words])
+            u, v = ids[i[~many[of[i]]]], ids[j[~many[of[i]]]]
+            dense, hub = np.array(ties, dtype=np.int64).reshape(-1, 2).T
+            none = [pa.nulls(len(c), pa.int64()) for c in (u, dense)]
+            columns = [[pa.array(np.minimum(u, v)), none[1]], [pa.array(np.maximum(u, v)), none[1]], [none[0], pa.array(dense)], [none[0], pa.array(hub)]]
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["u", "v", "dense", "hub"])
+
+        for batch in batches:
+            rows = [batch.column(c).to_numpy() for c in ("key", "id", "group" if "group" in batch.schema.names else "id")]
+            rows += [batch.column(k).to_numpy() for k, c in enumerate(batch.schema.names) if c not in ("key", "id", "group")]
+            held = [*(held or []), rows] if len(rows[0]) else held
+            if not len(rows[0]) or rows[0][0] == rows[0][-1] == held[0][0][-1]:  # one key so far
+                continue
+            rows = [np.concatenate(c) for c in zip(*held, strict=True)]
+            last = int(np.searchsorted(rows[0], rows[0][-1]))
+            held = [[c[last:].copy() for c in rows]]
+            if last:
+                yield found([c[:last] for c in rows])
+        if held:
+            yield found([np.concatenate(c) for c in zip(*held, strict=True)])
+
+    return run
+
+
+def _alike_prints(a: np.ndarray, b: np.ndarray, size: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether whole fingerprints can be of similar sets, the smaller of them of `size`: 4.5 standard deviations over
+    the mean, and some more for sets of few shingles."""
+    n, p = 8 * a.shape[-1], bits_apart(similarity)
+    apart = np.bitwise_count(np.ascontiguousarray(a).view("<u8") ^ np.ascontiguousarray(b).view("<u8")).sum(axis=-1, dtype=np.int64)
+    return apart <= n * (p + 4.5 * math.sqrt(max(p, 0.02) / n) + 0.4 / np.maximum(size, 1))
 
-        yield from _runs(("key",), links, pa.int64())(batches)
+
+def _pass_whole(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                fine = _alike_prints(_prints(batch.column("a")), _prints(batch.column("b")), batch.column("size").to_numpy(), similarity)
+                yield batch.select(["u", "v"]).filter(pa.array(fine))
 
     return run
 
@@ -470,19 +474,22 @@ def block_links(roots: list[bytes], blocks: list[int], sets: list[bytes], simila
     return links
 
 
-def _ties(dense: DataFrame, bits: int, similarity: float) -> DataFrame:
-    """Pairs u, v of ids that connect all rows with a common key and near fingerprints.
+def _meetings(whole: DataFrame, bits: int, segments: int, crowd: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs u, v of ids that meet under a key, and ties u, v of ids that connect those that meet in a crowd.
 
-    First by every eighth key; what that connects is a group, and under all keys only different groups are compared.
+    A part of the ring at a time: its keys are gone before the next ones are filed, and what the crowds have connected by
+    then is a group, within which nothing is compared again.
     """
-
-    def tied(rows: DataFrame, every: int) -> DataFrame:
-        filed = map_arrow(rows.select("id", "group", "size", "print"), _file(bits, every), "key long, id long, group long, size long, print binary")
-        return map_arrow(filed.repartition("key").sortWithinPartitions("key"), _tie(similarity), "u long, v long")
-
-    near = cut(connected_components(tied(dense.withColumn("group", F.col("id")), _FIRST_KEYS), at_once=_LINKS))
-    grouped = dense.join(near, F.col("id") == F.col("node"), "left").withColumn("group", F.coalesce("root", "id"))
-    return near.select(F.col("node").alias("u"), F.col("root").alias("v")).union(tied(grouped, 1))
+    cuts, met, ties, group = [c * segments // 32 for c in _CUTS], [], [], None
+    for part in zip(cuts, cuts[1:], strict=False):
+        rows = whole.withColumn("group", F.col("id")) if group is None else whole.join(group, F.col("id") == F.col("node"), "left").withColumn("group", F.coalesce("root", "id"))
+        filed = map_arrow(rows.select("id", "group", "size", "print"), _file(bits, part), f"key long, id long, group long, {', '.join(f'{w} long' for w in _WORD_NAMES)}")
+        found = cut(map_arrow(filed.repartition("key").sortWithinPartitions("key", "id"), _meet(crowd, limit), "u long, v long, dense long, hub long"))
+        met.append(found.filter("dense is null").select("u", "v"))
+        ties.append(found.filter("dense <> hub").select(F.col("dense").alias("u"), F.col("hub").alias("v")))
+        if part[1] < segments and not ties[-1].isEmpty():
+            group = cut(connected_components(reduce(DataFrame.union, ties), at_once=_LINKS))
+    return reduce(DataFrame.union, met), reduce(DataFrame.union, ties)
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, crowd: int = 32, bits: int | None = None) -> DataFrame:
@@ -493,35 +500,30 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, cro
     4 million rows, then more; ring_segments of them): those that agree in a segment and in one of the two after it.
     Where less than two thirds as many bits differ as there are segments, some chain of three has one wrong bit at most
     and starts with an agreeing segment, so such pairs always meet; of those at `similarity` all but 1 in 10,000 do.
-    128 bits, then all bits, reject what cannot be alike, and every pair is decided on the two whole sets: first each
+    192 bits, then all bits, reject what cannot be alike, and every pair is decided on the two whole sets: first each
     document with two of the others that it met, then in blocks all of those that met and that these links don't
     connect. A key gives no more pairs than it has rows: where it would, or has over `crowd` fingerprints (and four
-    times the average), its rows are filed again with all bits, and only as many of their pairs are listed as connect
-    all; what these connect is compared in blocks. Texts with the same set of shingles are one class from the start. A null, an empty text and one without words are alike. `kept` holds for one row of each group
-    (and rows that are wholly like it): the smallest by (doc_id, text_hash), null ids last. A group without ids has a
-    null component_id. A very long text is read whole and is a block's only one; columns of other names are not read;
-    an empty table gives an empty result.
+    times the average), only as many pairs within 192 bits' bound are listed as connect all; what these connect is
+    compared in blocks. Texts with the same set of shingles are one class from the start. A null, an empty text and one
+    without words are alike. `kept` holds for one row of each group (and rows that are wholly like it): the smallest by
+    (doc_id, text_hash), null ids last. A group without ids has a null component_id. A very long text is read whole and
+    is a block's only one; columns of other names are not read; an empty table gives an empty result.
     """
     kind, n_rows = docs.schema["doc_id"].dataType.simpleString(), docs.count()
     bits = bits or next(b for b, most in _SEGMENT_BITS if n_rows <= most)
     crowd = crowd + 4 * (n_rows >> (2 * bits))
-    p = bits_apart(similarity)
-    limit = int(128 * p + 5.5 * math.sqrt(128 * max(p, 0.02)))
     given = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    table = cut(map_arrow(given, _signatures(words, bits * ring_segments(bits, similarity) // 64), f"doc_id {kind}, text_hash long, same binary, id long, size long, print binary"))
+    segments = ring_segments(bits, similarity)
+    table = cut(map_arrow(given, _signatures(words, bits * segments // 64), f"doc_id {kind}, text_hash long, same binary, id long, size long, print binary"))
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     classes = cut(table.groupBy("same").agg(F.min("doc_id").alias("low"), F.min(row).alias("first_row"), *(F.first(c).alias(c) for c in ("id", "size", "print"))))
-    filed = map_arrow(classes.select("id", "size", "print"), _file(bits), "key long, id long, one long, two long")
-    met = cut(map_arrow(filed.repartition("key").sortWithinPartitions("key", "id"), _meet(crowd, limit), "u long, v long, dense long"))
     whole = classes.select("id", "same", "size", "print")
+    met, ties = _meetings(whole.select("id", "size", "print"), bits, segments, crowd, words_limit(similarity))
     a, b = (whole.select(F.col("id").alias(i), F.col("same").alias(f"{i}_same"), F.col("size").alias(f"{i}_size"), F.col("print").alias(c)) for i, c in (("u", "a"), ("v", "b")))
-    both = met.filter("dense is null").select("u", "v").distinct().join(a, "u").join(b, "v")
+    both = met.distinct().join(a, "u").join(b, "v")
     single = cut(map_arrow(both.select(F.col("u_same").alias("u"), F.col("v_same").alias("v"), F.least("u_size", "v_size").alias("size"), "a", "b"), _pass_whole(similarity), "u binary, v binary"))
-    dense = cut(whole.join(met.filter("dense is not null").select(F.col("dense").alias("id")).distinct(), "id", "left_semi"))
-    ties = None
-    if not dense.isEmpty():
-        ties = cut(_ties(dense, bits, similarity).join(a.select("u", "u_same"), "u").join(b.select("v", "v_same"), "v").select(F.col("u_same").alias("u"), F.col("v_same").alias("v")))
-    pairs = single if ties is None else single.union(ties)
+    ties = cut(ties.join(a.select("u", "u_same"), "u").join(b.select("v", "v_same"), "v").select(F.col("u_same").alias("u"), F.col("v_same").alias("v")))
+    pairs = single.union(ties)
 
     told = pairs.select(F.explode(F.array("u", "v")).alias("same"))
     speakers = classes.join(told.distinct(), "same", "left_semi").select(F.col("first_row.doc_id").alias("speaker"), F.col("first_row.text_hash").alias("speaks")).distinct()
@@ -544,8 +546,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, cro
     rooted = cut(classes.join(near, F.col("same") == F.col("node"), "left").select("same", "low", "first_row", "size", F.coalesce("root", "same").alias("root")))
     roots = rooted.select("same", "root")
     open_pairs = single.join(roots.select(F.col("same").alias("u"), F.col("root").alias("a")), "u").join(roots.select(F.col("same").alias("v"), F.col("root").alias("b")), "v").filter("a <> b").select("u", "v")
-    if ties is not None:  # all of them: they connect pairs that they don't list
-        open_pairs = open_pairs.union(ties)
+    open_pairs = open_pairs.union(ties)  # all of them: they connect pairs that they don't list
     clusters = connected_components(open_pairs, at_once=_LINKS).select(F.col("node").alias("same"), F.col("root").alias("cluster"))
     clusters = cut(clusters.union(clusters.select(F.col("cluster").alias("same"), "cluster").distinct()))
     members = clusters.join(rooted.select("same", "root", "size"), "same")
